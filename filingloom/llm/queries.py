@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship, table
-from . import canon, lines
+from . import canon, companies, lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,3 +62,18 @@ def p6_clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page once, without its repeated lines."""
     pages = table(spark, sf_dir, "page_records")
     return lines.without_lines(pages, lines.repeated_lines(pages)[0])
+
+
+# 1. Splits that keep related records together
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = materialize(companies.identities(table(spark, sf_dir, "question_records")), "ids")
+    return companies.linked_codes(companies.company_of(ids)[1])
+
+
+@query
+def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question with its company and split."""
+    return companies.company_splits(table(spark, sf_dir, "question_records"), table(spark, sf_dir, "split_targets"))[0].withColumnRenamed("record", "question_id")
