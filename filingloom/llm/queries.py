@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship, table
-from . import canon, companies, lines
+from . import canon, companies, lines, overlap
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,3 +77,30 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question with its company and split."""
     return companies.company_splits(table(spark, sf_dir, "question_records"), table(spark, sf_dir, "split_targets"))[0].withColumnRenamed("record", "question_id")
+
+
+# 7. Same or near-same records across splits
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "question_records").select("question_id", "question_text", "parent_question_text").dropDuplicates(["question_id"])
+    s = table(spark, sf_dir, "split_samples").select(F.col("sample_id").alias("question_id"), "split").dropDuplicates(["question_id"])
+    return s.join(q, "question_id")
+
+
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.split_overlaps(_samples(spark, sf_dir), "question_id", "split", ["question_text", "parent_question_text"])
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _overlaps(spark, sf_dir)
+    return x.select(F.least("key_train", "key_eval").alias("question_id_a"), F.greatest("key_train", "key_eval").alias("question_id_b")).distinct()
+
+
+@query
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping evaluation samples per split and source_file."""
+    src = table(spark, sf_dir, "split_samples").select(F.col("sample_id").alias("key_eval"), "split", F.col("metadata.source_file").alias("source_file")).dropDuplicates(["key_eval"])
+    pairs = _overlaps(spark, sf_dir).select("key_train", "key_eval").distinct()
+    return pairs.join(src, "key_eval").groupBy("split", "source_file").agg(F.countDistinct("key_eval").alias("samples"), F.count("*").alias("pairs"))
