@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship, table
-from . import canon, companies, lines, overlap
+from . import canon, companies, leaks, lines, overlap
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,3 +104,18 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = table(spark, sf_dir, "split_samples").select(F.col("sample_id").alias("key_eval"), "split", F.col("metadata.source_file").alias("source_file")).dropDuplicates(["key_eval"])
     pairs = _overlaps(spark, sf_dir).select("key_train", "key_eval").distinct()
     return pairs.join(src, "key_eval").groupBy("split", "source_file").agg(F.countDistinct("key_eval").alias("samples"), F.count("*").alias("pairs"))
+
+
+# 9. Evaluation texts leaking into training text
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = leaks.passage_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.leaked_items(m).select("doc_id", "item_id")
+
+
+@query
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaked item with its passages per document."""
+    return leaks.leaked_items(leaks.passage_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")))
