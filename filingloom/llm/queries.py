@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship, table
-from . import canon, companies, leaks, lines, overlap
+from . import canon, companies, cutoff, leaks, lines, overlap
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,3 +119,21 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leaked item with its passages per document."""
     return leaks.leaked_items(leaks.passage_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")))
+
+
+# 2. Text cut off by field limits
+
+
+def _cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.cut_scores(table(spark, sf_dir, "predictions"), "config", "sample_id", "prediction", "reference")
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cuts(spark, sf_dir).filter("cut").select(F.col("source").alias("config"), F.col("key").alias("sample_id"))
+
+
+@query
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut predictions for every config."""
+    return _cuts(spark, sf_dir).groupBy(F.col("source").alias("config")).agg(F.count("*").alias("predictions"), F.count_if("cut").alias("cut"), F.avg(F.col("cut").cast("int")).alias("share"))
