@@ -27,6 +27,8 @@ MAX_LENGTH = 20_000
 LABEL = re.compile(r"^(?:[*#>`_\-]|\d{1,2}[.、)](?=\D|$)|监管问询(?:子)?问题|问询(?:问题|函)?(?=[:*]|$)|(?:子)?问题\d*(?=[:：]|$)|答(?:案|复)?(?=[:：]|$)|[:：])+")
 MARKED = re.compile(r"[。?!…*`_#\"'”’)\]】》」;.]+$")
 THINK = re.compile(r"<think>.*?(?:</think>|$)", re.S)
+# What stands in for an answer that isn't there (one form, without brackets and marks).
+STAND_INS = {"无", "暂无", "空", "略", "没有", "暂缺", "待补充", "none", "null", "nan", "n/a", "na", "nil", "未知", "无内容", "无回答", "无输出"}
 # Brackets and quotes, opening and closing.
 OPEN, CLOSE = "([{“‘《【「", ")]}”’》】」"
 FINAL, HANGING = "。?!", ",、:(“‘《【「[{<"
@@ -41,6 +43,12 @@ def parts(text: str | None, form: str | None = None) -> tuple[str, str, bool]:
     return body, MARKED.sub("", body), opened
 
 
+def no_answer(bare: str) -> bool:
+    """Nothing visible, only marks, a label, or a stand-in."""
+    inner = bare.strip("".join(set(OPEN + CLOSE)) + "-/").lower()
+    return not any(c.isalnum() for c in inner) or inner in STAND_INS
+
+
 def unclosed(body: str) -> bool:
     """An opening bracket or quote without its closing one."""
     depth = [0] * len(OPEN)
@@ -123,7 +131,7 @@ def answers(df: DataFrame, text: str, keep: list) -> DataFrame:
                 body, bare, opened = parts(r, form)
                 if opened:
                     sign = 1
-                elif not any(c.isalnum() for c in bare) or len(bare) < 2:
+                elif no_answer(bare):
                     sign = -1
                 elif "�" in form[-3:] or unclosed(body) or body[-1] in HANGING:
                     sign = 1

@@ -38,17 +38,26 @@ def agreement(a: str, b: str) -> float:
     return 2 * lcs_length(a, b) / (len(a) + len(b)) if a and b else 0.0
 
 
-def could_agree(a: str, b: str, least: float) -> bool:
-    """An upper bound of ``agreement`` from lengths and character counts."""
-    n = len(a) + len(b)
-    if 2 * min(len(a), len(b)) < least * n:
-        return False
-    x, y = (np.bincount(np.frombuffer(s.encode("utf-16-le"), np.uint16), minlength=65536) for s in (a, b)) if n > 600 else (None, None)
-    if x is not None:
-        return 2 * int(np.minimum(x, y).sum()) >= least * n
-    from collections import Counter
+#: Buckets of the character counts that bound the agreement of two texts; texts longer than this many characters are not pre-filtered.
+BUCKETS, LONG = 64, 5000
 
-    return 2 * sum((Counter(a) & Counter(b)).values()) >= least * n
+
+def bag(form: str) -> bytes | None:
+    """Counts of the text's characters in BUCKETS buckets, one or two bytes each; None for a long text."""
+    if len(form) > LONG:
+        return None
+    c = np.frombuffer(form.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.minimum(np.bincount((c * np.uint32(2654435761)) >> np.uint32(26), minlength=BUCKETS), 65535).astype(np.uint16).tobytes()
+
+
+def could_agree(a: list[bytes | None], b: list[bytes | None], least: float) -> np.ndarray:
+    """For pairs of bags: whether the texts may agree. The characters common to both bags bound the common subsequence from above."""
+    out = np.ones(len(a), bool)
+    known = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x is not None and y is not None]
+    if known:
+        x, y = (np.frombuffer(b"".join(v[i] for i in known), np.uint16).reshape(-1, BUCKETS).astype(np.int32) for v in (a, b))
+        out[known] = 2 * np.minimum(x, y).sum(axis=1) >= least * (x.sum(axis=1) + y.sum(axis=1)) - 1e-9
+    return out
 
 
 def word_grams(form: str, k: int = 5) -> np.ndarray:
@@ -70,22 +79,22 @@ def hash_word(w: str) -> int:
 
 
 def forms_with_grams(df: DataFrame, text: str, keep: list, k: int = 5) -> DataFrame:
-    """keep, form, grams for each row; blank texts are left out."""
+    """keep, form, grams, bag for each row; blank texts are left out."""
     src = df.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = widen(src, "form string, grams array<bigint>", ("__text",))
+    schema = widen(src, "form string, grams array<bigint>, bag binary", ("__text",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             forms = canon_texts(b.column(b.num_columns - 1).to_pylist())
             seen: dict[str, np.ndarray] = {}
             grams = [seen[f] if f in seen else seen.setdefault(f, word_grams(f, k)) for f in forms]
-            out = pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(forms, pa.string()), pa.array(grams, pa.list_(pa.int64()))], names=schema.names)
+            out = pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(forms, pa.string()), pa.array(grams, pa.list_(pa.int64())), pa.array([bag(f) for f in forms], pa.binary())], names=schema.names)
             yield out.filter(pa.array([f != "" for f in forms]))
 
     return src.mapInArrow(run, schema)
 
 
-def split_overlaps(records: DataFrame, key: str, split: str, texts: list[str], train: str = "train", evaluation: tuple[str, ...] = ("validation", "test"), least: float = 0.8, floor: float = 0.2) -> DataFrame:
+def split_overlaps(records: DataFrame, key: str, split: str, texts: list[str], train: str = "train", evaluation: tuple[str, ...] = ("validation", "test"), least: float = 0.8, floor: float = 0.5) -> DataFrame:
     """(key_train, key_eval, field, containment, similarity) for every evaluation record and training record that agree.
 
     1. Texts are brought to their one form; each distinct form of a field and side is handled once, with its records aside.
@@ -104,7 +113,7 @@ def split_overlaps(records: DataFrame, key: str, split: str, texts: list[str], t
     texts_once = spelled.select("side", "field", "raw", "text").dropDuplicates(["side", "field", "raw"]).repartition("raw")
     forms = materialize(forms_with_grams(texts_once, "text", [F.col("side"), F.col("field"), F.col("raw")]).withColumn("id", F.xxhash64("side", "field", "form")), "forms")
     member = spelled.select("key", "side", "field", "raw").join(forms.select("side", "field", "raw", "id"), ["side", "field", "raw"]).select("key", "side", "id").distinct()
-    one = materialize(forms.dropDuplicates(["id"]).select("id", "side", "field", "form", "grams"), "distinct")
+    one = materialize(forms.dropDuplicates(["id"]).select("id", "side", "field", "form", "grams", "bag"), "distinct")
     ev, tr = one.filter("side = 'e'"), one.filter("side = 't'")
 
     grams_t = tr.select(F.col("id").alias("t"), "field", F.explode("grams").alias("g"))
@@ -119,14 +128,22 @@ def split_overlaps(records: DataFrame, key: str, split: str, texts: list[str], t
     same = ev.select(F.col("id").alias("e"), "field", "form").join(tr.select(F.col("id").alias("t"), "field", "form"), ["field", "form"]).select("e", "t")
     pairs = near.union(same).distinct()
 
-    src = pairs.join(ev.select(F.col("id").alias("e"), "field", F.col("form").alias("fe"), F.col("grams").alias("ge")), "e").join(tr.select(F.col("id").alias("t"), F.col("form").alias("ft"), F.col("grams").alias("gt")), "t")
-    src = src.withColumn("containment", F.size(F.array_intersect("ge", "gt")) / F.greatest(F.size("ge"), F.lit(1))).select("e", "t", "field", "containment", "fe", "ft")
+    bags = pairs.join(ev.select(F.col("id").alias("e"), F.col("bag").alias("be")), "e").join(tr.select(F.col("id").alias("t"), F.col("bag").alias("bt")), "t").select("e", "t", "be", "bt")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select([0, 1]).filter(pa.array(could_agree(b.column(2).to_pylist(), b.column(3).to_pylist(), least)))
+
+    likely = bags.mapInArrow(sift, "e bigint, t bigint")
+    src = likely.join(ev.select(F.col("id").alias("e"), "field", F.col("form").alias("fe")), "e").join(tr.select(F.col("id").alias("t"), F.col("form").alias("ft")), "t").select("e", "t", "field", "fe", "ft")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sim = [agreement(x, y) if x == y or could_agree(x, y, least) else 0.0 for x, y in zip(b["fe"], b["ft"], strict=True)]
-            b = b.assign(similarity=sim)
-            yield b[b["similarity"] >= least - 1e-12][["e", "t", "field", "containment", "similarity"]]
+            b = b.assign(similarity=[1.0 if x == y else agreement(x, y) for x, y in zip(b["fe"], b["ft"], strict=True)])
+            b = b[b["similarity"] >= least - 1e-12]
+            grams = [(word_grams(x), word_grams(y)) for x, y in zip(b["fe"], b["ft"], strict=True)]
+            b = b.assign(containment=[len(np.intersect1d(x, y)) / max(1, len(x)) for x, y in grams])
+            yield b[["e", "t", "field", "containment", "similarity"]]
 
     found = materialize(src.mapInPandas(verify, "e bigint, t bigint, field string, containment double, similarity double"), "verified")
     me = member.filter("side = 'e'").select(F.col("key").alias("key_eval"), F.col("id").alias("e"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship, table
-from . import canon, companies, cutoff, leaks, lines, overlap
+from . import canon, companies, cutoff, leaks, lines, overlap, pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,3 +137,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of cut predictions for every config."""
     return _cuts(spark, sf_dir).groupBy(F.col("source").alias("config")).agg(F.count("*").alias("predictions"), F.count_if("cut").alias("cut"), F.avg(F.col("cut").cast("int")).alias("share"))
+
+
+# 5. Broken prompt and response pairs
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(table(spark, sf_dir, "predictions")).select(F.col("source").alias("config"), F.col("key").alias("sample_id"), "defect")
