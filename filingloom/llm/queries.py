@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship, table
-from . import canon, companies, cutoff, leaks, lines, overlap, pairs
+from . import canon, companies, cutoff, leaks, lines, overlap, pairs, unsafe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -145,3 +145,29 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defects(table(spark, sf_dir, "predictions")).select(F.col("source").alias("config"), F.col("key").alias("sample_id"), "defect")
+
+
+# 10. Abusive, hateful or sexual content
+
+
+def _unsafe(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights = unsafe.train(docs, table(spark, sf_dir, "doc_labels"))
+    return unsafe.scores(docs, weights, [F.col(c) for c in keep])
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unsafe(spark, sf_dir, "doc_id").filter(F.col("score") >= unsafe.UNSAFE).select("doc_id").distinct()
+
+
+@query
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score and its worst sentence."""
+    return _unsafe(spark, sf_dir, "doc_id", "source")
+
+
+@query
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of unsafe documents for every source."""
+    return _unsafe(spark, sf_dir, "source").groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("score") >= unsafe.UNSAFE).alias("unsafe"), F.avg((F.col("score") >= unsafe.UNSAFE).cast("int")).alias("rate"))
