@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship, table
-from . import canon, companies, cutoff, leaks, lines, overlap, pairs, unsafe
+from . import canon, companies, cutoff, leaks, lines, overlap, packing, pairs, unsafe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,3 +171,18 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of unsafe documents for every source."""
     return _unsafe(spark, sf_dir, "source").groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("score") >= unsafe.UNSAFE).alias("unsafe"), F.avg((F.col("score") >= unsafe.UNSAFE).cast("int")).alias("rate"))
+
+
+# 8. Filling fixed-capacity containers with items
+
+
+@query
+def p8_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document (or part of a longer one) for every capacity."""
+    return packing.packed_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "context_windows"))
+
+
+@query
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fill of every container."""
+    return packing.fills(packing.packed_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "context_windows")))
