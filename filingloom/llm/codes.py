@@ -27,6 +27,11 @@ class Codes:
 
 def encode(texts: list[str | None], keep_newlines: bool = False) -> Codes:
     """Null counts as "". Accents are composed in the few texts that have combining marks."""
+    return encode_map(texts, keep_newlines)[0]
+
+
+def encode_map(texts: list[str | None], keep_newlines: bool = False) -> tuple[Codes, list[str], np.ndarray]:
+    """As ``encode``; also the composed texts, and for each kept character its place in all of them laid end to end."""
     ready = [unicodedata.normalize("NFC", t.translate(_translation())) if t and _MARKS.search(t) else (t or "") for t in texts]
     sizes = np.fromiter((len(t) for t in ready), np.int64, len(ready))
     raw = np.frombuffer("".join(ready).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -36,7 +41,7 @@ def encode(texts: list[str | None], keep_newlines: bool = False) -> Codes:
         keep &= chars != 10
     counts = np.concatenate([[0], np.cumsum(keep)])
     start = counts[np.concatenate([[0], np.cumsum(sizes)])]
-    return Codes(chars[keep], start.astype(np.int64))
+    return Codes(chars[keep], start.astype(np.int64)), ready, np.flatnonzero(keep)
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship, table
-from . import canon, companies, cutoff, leaks, lines, overlap, packing, pairs, unsafe
+from . import canon, companies, cutoff, leaks, lines, overlap, packing, pairs, scans, unsafe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -186,3 +186,22 @@ def p8_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fill of every container."""
     return packing.fills(packing.packed_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "context_windows")))
+
+
+# 4. Noise in text from scanned pages
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = scans.scanned_noise(table(spark, sf_dir, "page_records"), repair=False)
+    return n.select("document_id", "page_number", F.explode("noise").alias("noise"))
+
+
+@query
+def p4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as readable paragraphs, with its noise and whether it was listed for recognition."""
+    listed = table(spark, sf_dir, "ocr_priority_pages").select("source_file", "page_number").distinct().withColumn("listed", F.lit(True))
+    pages = table(spark, sf_dir, "page_records")
+    where = pages.select("document_id", "page_number", "source_file").distinct()
+    n = scans.scanned_noise(pages).join(where, ["document_id", "page_number"]).join(listed, ["source_file", "page_number"], "left")
+    return n.select("document_id", "page_number", F.array_join("noise", ",").alias("noise"), "text", F.coalesce("listed", F.lit(False)).alias("listed"))
