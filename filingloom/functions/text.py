@@ -27,8 +27,8 @@ def _between_han(x: Column) -> Column:
 
 def clean_page_text(x: Col) -> Column:
     """Wide spaces as spaces, invisible marks dropped, blanks collapsed; lines stripped, empty ones dropped, no space inside ideographs."""
-    t = _blanks(F.translate(_c(x), "　 ​﻿", "  "))
-    lines = F.filter(F.transform(F.split(t, "[\n\u001c\u001d\u001e\u0085  ]"), lambda s: strip(s)), lambda s: s != "")
+    t = _blanks(F.translate(_c(x), "\u3000\u00a0\u200b\ufeff", "  "))
+    lines = F.filter(F.transform(F.split(t, "[\n\u001c\u001d\u001e\u0085\u2028\u2029]"), lambda s: strip(s)), lambda s: s != "")
     tidy = lambda s: F.regexp_replace(F.regexp_replace(_between_han(s), f"(?<={R.HAN}){R.WS}+(?=[，。；：！？、）】])", ""), f"(?<=[（【]){R.WS}+(?={R.HAN})", "")
     return F.array_join(F.transform(lines, tidy), "\n")
 

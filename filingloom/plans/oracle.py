@@ -30,7 +30,7 @@ def squeeze(x: str, left: str, right: str) -> str:
 
 
 def clean_page(x: str) -> str:
-    t = blanks(f"translate({x}, '　 ​﻿', '  ')")
+    t = blanks(f"translate({x}, {lit(''.join(map(chr, (0x3000, 0xA0, 0x200B, 0xFEFF))))}, '  ')")
     line = squeeze(squeeze(squeeze("s", HAN, HAN), HAN, "[，。；：！？、）】]"), "[（【]", HAN)
     lines = f"list_filter(list_transform(string_split_regex({t}, {lit('[' + chr(10) + chr(28) + chr(29) + chr(30) + chr(0x85) + chr(0x2028) + chr(0x2029) + ']')}), lambda s: {strip('s')}), lambda s: s <> '')"
     return f"array_to_string(list_transform({lines}, lambda s: {line}), chr(10))"

@@ -383,8 +383,8 @@ def derived_children(spark, sf):
 
 @query()
 def question_blocks(spark, sf):
-    p = pages(spark, sf).filter("document_type in ('inquiry', 'reply', 'supporting')")
-    return segment.question_blocks(p, ["document_id", "page_number"])
+    """Question blocks of the parents' texts."""
+    return segment.question_blocks(questions(spark, sf).filter("question_level = 'parent'"), ["question_id"], "question_text")
 
 
 @query()
