@@ -31,7 +31,7 @@ RADICALS = "⺟⻁⻄⻅⻆⻉⻋⻑⻓⻔⻘⻙⻚⻛⻜⻝⻢⻣⻤⻥⻦⻧
 RADICAL_IDEOGRAPHS = "母虎西见角贝车長长门青韦页风飞食马骨鬼鱼鸟卤麦黄黾齐齿龙龟"
 
 #: Characters without a look of their own, in the syntax of both regular-expression engines used here.
-INVISIBLE = "͏ᅟᅠ឴឵⠀ㅤﾠ︀-️"
+INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u2800\u3164\uffa0\ufe00-\ufe0f"
 SEPARATOR = "\x1e"
 
 

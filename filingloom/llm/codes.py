@@ -10,7 +10,7 @@ import numpy as np
 
 from .canon import _translation, fold_table
 
-_MARKS = re.compile("[̀-゙゚ͯ]")
+_MARKS = re.compile("[\u0300-\u036f\u3099\u309a]")
 
 
 @dataclass
