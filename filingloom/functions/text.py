@@ -115,12 +115,22 @@ def topic_title(*sources: Col) -> Column:
     return F.regexp_replace(F.coalesce(*found), "[。；：: ]+$", "")
 
 
+def token_text(x: Col) -> Column:
+    """The normalised lower-case text that ``terms`` reads."""
+    return F.lower(report_text(F.coalesce(_c(x), F.lit(""))))
+
+
 def tokens(x: Col) -> Column:
-    """Terms of a text: overlapping ideograph pairs (one ideograph where it stands alone), then Latin and number terms.
+    """``terms`` of a raw text."""
+    return terms(token_text(x))
+
+
+def terms(t: Col) -> Column:
+    """Terms of a normalised text: overlapping ideograph pairs (one ideograph where it stands alone), then Latin and number terms.
 
     Commas inside numbers are dropped; a term with a per-cent sign comes with and without it. Duplicates are kept.
     """
-    t = F.lower(report_text(F.coalesce(_c(x), F.lit(""))))
+    t = _c(t)
     pairs = F.regexp_extract_all(t, F.lit(f"(?=({R.HAN}{{2}}))"), F.lit(1))
     single = F.regexp_extract_all(t, F.lit(f"(?<!{R.HAN})({R.HAN})(?!{R.HAN})"), F.lit(1))
     latin = F.transform(F.regexp_extract_all(t, F.lit("[a-z0-9]+(?:[.,][a-z0-9]+)*%?"), F.lit(0)), lambda s: F.regexp_replace(s, ",", ""))

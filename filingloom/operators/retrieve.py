@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
 
 
 def report_chunks(pages: DataFrame, size: int = 750, overlap: int = 100, least: int = 50, document_type: str = "annual_report") -> DataFrame:
@@ -47,22 +48,24 @@ def bm25(docs: DataFrame, queries: DataFrame, partition: list[str], k: int = 10,
     docs: partition columns, doc_id, text. queries: partition columns, query_id, text. Statistics belong to the partition. Scores are
     rounded to nine places before ranking, ties go to the smaller id. Documents without a common term score 0 and fill the rank list;
     as they come in order of id, only the first k of a partition can be needed, so nothing is crossed with a whole partition.
-    Empty queries and partitions without documents give no rows. Postings are joined on partition and term, with pre-aggregated counts.
+    Empty queries and partitions without documents give no rows. Postings are written once to the shared folder and joined on partition and term, with pre-aggregated counts.
     """
-    d = docs.select(*partition, "doc_id", F.explode_outer(T.tokens("text")).alias("term"))
-    tf = d.groupBy(*partition, "doc_id", "term").agg(F.count("term").alias("tf")).filter("term is not null")
-    length = tf.groupBy(*partition, "doc_id").agg(F.sum("tf").alias("dl"))
+    d = docs.select(*partition, "doc_id", T.token_text("text").alias("t")).select(*partition, "doc_id", T.terms("t").alias("terms"))
+    d = d.select(*partition, "doc_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
+    tf = materialize(d.groupBy(*partition, "doc_id", "dl", "term").agg(F.count("term").alias("tf")), "postings")
+    ids = tf.select(*partition, "doc_id", "dl").distinct()
+    tf = tf.filter("term is not null")
     df = tf.groupBy(*partition, "term").agg(F.count("*").alias("df"))
-    ids = docs.select(*partition, "doc_id").distinct()
-    stats = ids.join(length, [*partition, "doc_id"], "left").groupBy(*partition).agg(F.count("*").alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl")) if partition else ids.join(length, "doc_id", "left").agg(F.count("*").alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl"))
-    q = queries.select(*partition, "query_id", F.explode(T.tokens("text")).alias("term")).groupBy(*partition, "query_id", "term").agg(F.count("*").alias("qtf"))
+    stats = ids.groupBy(*partition).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")) if partition else ids.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    q = queries.select(*partition, "query_id", T.token_text("text").alias("t")).select(*partition, "query_id", F.explode(T.terms("t")).alias("term"))
+    q = materialize(q.groupBy(*partition, "query_id", "term").agg(F.count("*").alias("qtf")), "query-terms")
     join = lambda x, y, on: x.join(y, on) if on else x.crossJoin(F.broadcast(y))  # the statistics of one partition: one row
-    post = join(tf.join(length, [*partition, "doc_id"]).join(df, [*partition, "term"]), stats, partition)
+    post = join(tf.join(df, [*partition, "term"]), stats, partition)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     avg = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avg))
     scored = post.select(*partition, "doc_id", "term", weight.alias("weight")).join(q, [*partition, "term"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * (1 + F.log("qtf"))).alias("score"))
-    first = ids.withColumn("r", F.row_number().over(W.partitionBy(*(partition or [F.lit(0)])).orderBy("doc_id"))).filter(F.col("r") <= k).drop("r")
+    first = ids.drop("dl").withColumn("r", F.row_number().over(W.partitionBy(*(partition or [F.lit(0)])).orderBy("doc_id"))).filter(F.col("r") <= k).drop("r")
     live = q.select(*partition, "query_id").distinct()
     fill = (live.join(first, partition) if partition else live.crossJoin(F.broadcast(first))).select("query_id", "doc_id", F.lit(0.0).alias("score"))  # k rows
     both = scored.unionByName(fill).groupBy("query_id", "doc_id").agg(F.max("score").alias("score")).withColumn("score", F.round("score", 9))
