@@ -94,14 +94,15 @@ def forms_with_grams(df: DataFrame, text: str, keep: list, k: int = 5) -> DataFr
     return src.mapInArrow(run, schema)
 
 
-def split_overlaps(records: DataFrame, key: str, split: str, texts: list[str], train: str = "train", evaluation: tuple[str, ...] = ("validation", "test"), least: float = 0.8, floor: float = 0.5) -> DataFrame:
+def split_overlaps(records: DataFrame, key: str, split: str, texts: list[str], train: str = "train", evaluation: tuple[str, ...] = ("validation", "test"), least: float = 0.8, floor: float = 0.5, rest: float = 0.42) -> DataFrame:
     """(key_train, key_eval, field, containment, similarity) for every evaluation record and training record that agree.
 
     1. Texts are brought to their one form; each distinct form of a field and side is handled once, with its records aside.
     2. Word five-grams of the evaluation forms are matched with those of the training forms by a join partitioned on the hash. A gram
-       weighs ln(1 + training forms / forms with it). Per evaluation form the grams are ordered by weight; the heaviest that together
-       hold more than 1 - ``floor`` of the weight are the ones that look for partners, because a training form that holds ``floor`` of an
-       evaluation form's weight must share one of them. No partner is dropped by count.
+       weighs ln(1 + training forms / forms with it). Per evaluation form the heaviest grams that together hold more than 1 - ``rest``
+       of the weight look for partners. A training form that holds ``floor`` of an evaluation form's weight holds at least
+       ``floor`` - ``rest`` of it among these, and is kept as a candidate; weights are summed per pair with map-side combination. No partner
+       is dropped by count.
     3. Each candidate is checked exactly: characters in agreement >= ``least``. Equal forms are found by equality as well, so texts of
        any length are covered. containment is the share of the evaluation form's grams that the training form holds.
     Null and blank texts never agree; records without key or split are left out; repeated rows count once; an empty table gives no rows.
@@ -123,8 +124,9 @@ def split_overlaps(records: DataFrame, key: str, split: str, texts: list[str], t
     n = tr.groupBy("field").agg(F.count("*").alias("n"))
     weighed = grams_e.join(df, ["field", "g"], "left").join(F.broadcast(n), "field").withColumn("w", F.log(1 + F.col("n") / F.coalesce("df", F.lit(1))))  # n: one row a field
     heavy = W.partitionBy("e").orderBy(F.desc("w"), "g").rowsBetween(W.unboundedPreceding, -1)
-    prefix = weighed.withColumn("before", F.coalesce(F.sum("w").over(heavy), F.lit(0.0))).withColumn("all", F.sum("w").over(W.partitionBy("e"))).filter(F.col("before") <= (1 - floor) * F.col("all")).filter("df is not null")
-    near = prefix.select("e", "field", "g").join(hits, ["field", "g"]).select("e", "t").distinct()
+    prefix = weighed.withColumn("before", F.coalesce(F.sum("w").over(heavy), F.lit(0.0))).withColumn("all", F.sum("w").over(W.partitionBy("e"))).filter(F.col("before") <= (1 - rest) * F.col("all")).filter("df is not null")
+    near = prefix.select("e", "field", "g", "w", "all").join(hits, ["field", "g"]).groupBy("e", "t").agg(F.sum("w").alias("w"), F.first("all").alias("all"))
+    near = near.filter(F.col("w") >= (floor - rest) * F.col("all") - 1e-9).select("e", "t")
     same = ev.select(F.col("id").alias("e"), "field", "form").join(tr.select(F.col("id").alias("t"), "field", "form"), ["field", "form"]).select("e", "t")
     pairs = near.union(same).distinct()
 
