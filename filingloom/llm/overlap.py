@@ -94,7 +94,7 @@ def forms_with_grams(df: DataFrame, text: str, keep: list, k: int = 5) -> DataFr
     return src.mapInArrow(run, schema)
 
 
-def split_overlaps(records: DataFrame, key: str, split: str, texts: list[str], train: str = "train", evaluation: tuple[str, ...] = ("validation", "test"), least: float = 0.8, floor: float = 0.5, rest: float = 0.42) -> DataFrame:
+def split_overlaps(records: DataFrame, key: str, split: str, texts: list[str], train: str = "train", evaluation: tuple[str, ...] = ("validation", "test"), least: float = 0.8, floor: float = 0.4, rest: float = 0.34) -> DataFrame:
     """(key_train, key_eval, field, containment, similarity) for every evaluation record and training record that agree.
 
     1. Texts are brought to their one form; each distinct form of a field and side is handled once, with its records aside.
