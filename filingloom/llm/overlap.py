@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize, widen
@@ -78,33 +77,107 @@ def hash_word(w: str) -> int:
     return h
 
 
-def forms_with_grams(df: DataFrame, text: str, keep: list, k: int = 5) -> DataFrame:
-    """keep, form, grams, bag for each row; blank texts are left out."""
+def forms_with_bags(df: DataFrame, text: str, keep: list) -> DataFrame:
+    """keep, form, bag for each row; blank texts are left out."""
     src = df.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = widen(src, "form string, grams array<bigint>, bag binary", ("__text",))
+    schema = widen(src, "form string, bag binary", ("__text",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             forms = canon_texts(b.column(b.num_columns - 1).to_pylist())
-            seen: dict[str, np.ndarray] = {}
-            grams = [seen[f] if f in seen else seen.setdefault(f, word_grams(f, k)) for f in forms]
-            out = pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(forms, pa.string()), pa.array(grams, pa.list_(pa.int64())), pa.array([bag(f) for f in forms], pa.binary())], names=schema.names)
+            out = pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(forms, pa.string()), pa.array([bag(f) for f in forms], pa.binary())], names=schema.names)
             yield out.filter(pa.array([f != "" for f in forms]))
 
     return src.mapInArrow(run, schema)
 
 
-def split_overlaps(records: DataFrame, key: str, split: str, texts: list[str], train: str = "train", evaluation: tuple[str, ...] = ("validation", "test"), least: float = 0.8, floor: float = 0.4, rest: float = 0.34) -> DataFrame:
+def couples(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, starts): each two consecutive characters of every text with how often they stood before in it, so that tokens of a text are distinct."""
+    sizes = np.fromiter((len(f) for f in forms), np.int64, len(forms))
+    c = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    text = np.repeat(np.arange(len(forms)), sizes)
+    inner = np.flatnonzero(text[1:] == text[:-1])
+    pair, of = (c[inner] << 21) | c[inner + 1], text[inner]
+    order = np.lexsort((pair, of))
+    pair, of = pair[order], of[order]
+    at = np.arange(len(pair))
+    fresh = np.ones(len(pair), bool)
+    fresh[1:] = (pair[1:] != pair[:-1]) | (of[1:] != of[:-1])
+    nth = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    return pair + (np.minimum(nth, (1 << 21) - 1) << 42), np.searchsorted(of, np.arange(len(forms) + 1))
+
+
+def may_agree(a: list[str], b: list[str], least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each text of ``a`` the texts of ``b`` whose length and shared couples of characters allow an agreement of ``least``; leaves out none that agrees.
+
+    Texts of s characters together that agree have L >= least * s / 2 characters in common order. These fall into runs that stand in both
+    texts, and between two runs is one of the s - 2L other characters at least, so there are 1 + s - 2L runs at most, and a run of r
+    characters has r - 1 couples: the texts share 3L - s - 1 couples or more.
+    """
+    if not a or not b:
+        return
+    ta, sa = couples(a)
+    tb, sb = couples(b)
+    of = np.repeat(np.arange(len(b)), np.diff(sb))
+    order = np.argsort(tb, kind="stable")
+    tb, of = tb[order], of[order]
+    first, last = np.searchsorted(tb, ta), np.searchsorted(tb, ta, "right")
+    size = np.array([len(x) for x in b], np.int64)
+    for i, x in enumerate(a):
+        lo, hi = first[sa[i] : sa[i + 1]], last[sa[i] : sa[i + 1]]
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(of[at], minlength=len(b))
+        s = size + len(x)
+        common = np.ceil(least * s / 2 - 1e-9)
+        yield i, np.flatnonzero((common <= np.minimum(size, len(x))) & (shared >= 3 * common - s - 1))
+
+
+#: Characters of the texts of one block; each block of evaluation forms meets each block of training forms of a length that can agree.
+BLOCK = 400_000
+
+
+def candidates(ev: DataFrame, tr: DataFrame, least: float) -> DataFrame:
+    """(e, t): every pair of forms (id, field, form, bag) that ``may_agree`` and ``could_agree``.
+
+    Lengths are dealt into bands of a factor 1.5; forms of agreement ``least`` are at most ``reach`` bands apart. A band is cut into blocks
+    by its characters, so a task holds two blocks, however many forms there are.
+    """
+    reach = int(np.ceil(np.log((2 - least) / least) / np.log(1.5) - 1e-9)) if least > 0 else 99
+    band = F.floor(F.log(F.length("form")) / F.log(F.lit(1.5)) + 1e-9).cast("int")
+
+    def blocks(side: DataFrame) -> tuple[DataFrame, DataFrame]:
+        x = side.select("id", "field", "form", "bag", band.alias("band"))
+        n = x.groupBy("field", "band").agg(F.ceil(F.sum(F.length("form")) / BLOCK).cast("int").alias("n"))
+        return x.join(n, ["field", "band"]).withColumn("block", F.pmod("id", F.col("n")).cast("int")).drop("n"), n.select("field", "band", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+
+    (e, be), (t, bt) = blocks(ev), blocks(tr)
+    cells = be.select("field", F.col("band").alias("band_e"), F.col("block").alias("block_e")).join(bt.select("field", F.col("band").alias("band_t"), F.col("block").alias("block_t")), "field").filter(F.abs(F.col("band_e") - F.col("band_t")) <= reach)
+    cells = materialize(cells.withColumn("cell", F.concat_ws(":", "field", "band_e", "block_e", "band_t", "block_t")), "cells")
+    dealt = lambda x, s: x.withColumnsRenamed({"band": f"band_{s}", "block": f"block_{s}"}).join(cells, ["field", f"band_{s}", f"block_{s}"]).select(*[F.col(c).alias(f"{c}_{s}") for c in ("cell", "id", "form", "bag")])
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        a, b, bags_a, bags_b = (v.to_pylist() for v in (x["form_e"], y["form_t"], x["bag_e"], y["bag_t"]))
+        ids_a, ids_b = x["id_e"].to_numpy(), y["id_t"].to_numpy()
+        out_e, out_t = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, js in may_agree(a, b, least):
+            if len(js):
+                js = js[could_agree([bags_a[i]] * len(js), [bags_b[j] for j in js.tolist()], least)]
+                out_e.append(np.full(len(js), ids_a[i]))
+                out_t.append(ids_b[js])
+        return pa.table({"e": np.concatenate(out_e), "t": np.concatenate(out_t)})
+
+    return dealt(e, "e").groupBy("cell_e").cogroup(dealt(t, "t").groupBy("cell_t")).applyInArrow(meet, "e bigint, t bigint")
+
+
+def split_overlaps(records: DataFrame, key: str, split: str, texts: list[str], train: str = "train", evaluation: tuple[str, ...] = ("validation", "test"), least: float = 0.8) -> DataFrame:
     """(key_train, key_eval, field, containment, similarity) for every evaluation record and training record that agree.
 
     1. Texts are brought to their one form; each distinct form of a field and side is handled once, with its records aside.
-    2. Word five-grams of the evaluation forms are matched with those of the training forms by a join partitioned on the hash. A gram
-       weighs ln(1 + training forms / forms with it). Per evaluation form the heaviest grams that together hold more than 1 - ``rest``
-       of the weight look for partners. A training form that holds ``floor`` of an evaluation form's weight holds at least
-       ``floor`` - ``rest`` of it among these, and is kept as a candidate; weights are summed per pair with map-side combination. No partner
-       is dropped by count.
-    3. Each candidate is checked exactly: characters in agreement >= ``least``. Equal forms are found by equality as well, so texts of
-       any length are covered. containment is the share of the evaluation form's grams that the training form holds.
+    2. Every pair of an evaluation and a training form is a candidate whose lengths, shared couples of characters and character counts
+       allow the agreement (``candidates``). These bounds follow from the agreement, so no agreeing pair is left out.
+    3. Each candidate is checked exactly: characters in agreement >= ``least``. containment is the share of the evaluation form's
+       word five-grams that the training form holds.
     Null and blank texts never agree; records without key or split are left out; repeated rows count once; an empty table gives no rows.
     """
     side = F.when(F.col(split) == train, F.lit("t")).when(F.col(split).isin(*evaluation), F.lit("e"))
@@ -112,31 +185,12 @@ def split_overlaps(records: DataFrame, key: str, split: str, texts: list[str], t
     flat = records.select(F.col(key).cast("string").alias("key"), side.alias("side"), F.explode(fields).alias("x")).filter("key is not null and side is not null and x.text is not null").select("key", "side", "x.field", "x.text")
     spelled = materialize(flat.withColumn("raw", F.md5("text")).dropDuplicates(["key", "side", "field"]), "spelled")
     texts_once = spelled.select("side", "field", "raw", "text").dropDuplicates(["side", "field", "raw"]).repartition("raw")
-    forms = materialize(forms_with_grams(texts_once, "text", [F.col("side"), F.col("field"), F.col("raw")]).withColumn("id", F.xxhash64("side", "field", "form")), "forms")
+    forms = materialize(forms_with_bags(texts_once, "text", [F.col("side"), F.col("field"), F.col("raw")]).withColumn("id", F.xxhash64("side", "field", "form")), "forms")
     member = spelled.select("key", "side", "field", "raw").join(forms.select("side", "field", "raw", "id"), ["side", "field", "raw"]).select("key", "side", "id").distinct()
-    one = materialize(forms.dropDuplicates(["id"]).select("id", "side", "field", "form", "grams", "bag"), "distinct")
+    one = materialize(forms.dropDuplicates(["id"]).select("id", "side", "field", "form", "bag"), "distinct")
     ev, tr = one.filter("side = 'e'"), one.filter("side = 't'")
 
-    grams_t = tr.select(F.col("id").alias("t"), "field", F.explode("grams").alias("g"))
-    grams_e = ev.select(F.col("id").alias("e"), "field", F.explode("grams").alias("g"))
-    hits = materialize(grams_t.join(grams_e.select("field", "g").distinct(), ["field", "g"], "left_semi"), "postings")
-    df = hits.groupBy("field", "g").agg(F.count("*").alias("df"))
-    n = tr.groupBy("field").agg(F.count("*").alias("n"))
-    weighed = grams_e.join(df, ["field", "g"], "left").join(F.broadcast(n), "field").withColumn("w", F.log(1 + F.col("n") / F.coalesce("df", F.lit(1))))  # n: one row a field
-    heavy = W.partitionBy("e").orderBy(F.desc("w"), "g").rowsBetween(W.unboundedPreceding, -1)
-    prefix = weighed.withColumn("before", F.coalesce(F.sum("w").over(heavy), F.lit(0.0))).withColumn("all", F.sum("w").over(W.partitionBy("e"))).filter(F.col("before") <= (1 - rest) * F.col("all")).filter("df is not null")
-    near = prefix.select("e", "field", "g", "w", "all").join(hits, ["field", "g"]).groupBy("e", "t").agg(F.sum("w").alias("w"), F.first("all").alias("all"))
-    near = near.filter(F.col("w") >= (floor - rest) * F.col("all") - 1e-9).select("e", "t")
-    same = ev.select(F.col("id").alias("e"), "field", "form").join(tr.select(F.col("id").alias("t"), "field", "form"), ["field", "form"]).select("e", "t")
-    pairs = near.union(same).distinct()
-
-    bags = pairs.join(ev.select(F.col("id").alias("e"), F.col("bag").alias("be")), "e").join(tr.select(F.col("id").alias("t"), F.col("bag").alias("bt")), "t").select("e", "t", "be", "bt")
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.select([0, 1]).filter(pa.array(could_agree(b.column(2).to_pylist(), b.column(3).to_pylist(), least)))
-
-    likely = bags.mapInArrow(sift, "e bigint, t bigint")
+    likely = materialize(candidates(ev, tr, least), "likely")
     src = likely.join(ev.select(F.col("id").alias("e"), "field", F.col("form").alias("fe")), "e").join(tr.select(F.col("id").alias("t"), F.col("form").alias("ft")), "t").select("e", "t", "field", "fe", "ft")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

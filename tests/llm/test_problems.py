@@ -205,6 +205,29 @@ def test_overlaps_against_brute_force(spark):
     assert overlap.split_overlaps(df.limit(0), "id", "split", ["q"]).count() == 0
 
 
+def test_overlaps_with_scattered_edits(spark):
+    rnd = random.Random(17)
+    base = ["".join(chr(0x4E00 + rnd.randint(0, 3000)) for _ in range(n)) for n in (60, 100, 400, 5500)]
+    apart = lambda t, k: "".join("改" if i % k == k - 1 else c for i, c in enumerate(t))
+    rows = [(f"t{i}", "train", t) for i, t in enumerate(base)] + [(f"e{i}", "test", apart(t, 5)) for i, t in enumerate(base)] + [(f"f{i}", "test", apart(t, 4)) for i, t in enumerate(base)]
+    rows += [("t8", "train", "甲乙"), ("e8", "test", "甲丙乙"), ("t9", "train", base[0][:60]), ("e9", "validation", "".join(c + "增" * (i % 2) for i, c in enumerate(base[0])))]
+    rows += [(f"u{i}", "train", "请说明公司业务" + t[:40]) for i, t in enumerate(base)] + [(f"g{i}", "test", "请说明公司业务" + apart(t[:40], 4)) for i, t in enumerate(base)]
+    df = spark.createDataFrame(rows, "id string, split string, q string")
+    want = {(a, b) for (a, s, q), (b, r, q2) in itertools.product(rows, rows) if s == "train" and r != "train" and overlap.agreement(q, q2) >= 0.8}
+    assert {("t0", "e0"), ("t3", "e3"), ("t8", "e8"), ("t0", "e9")} <= want and ("t0", "f0") not in want
+    assert {(r["key_train"], r["key_eval"]) for r in overlap.split_overlaps(df, "id", "split", ["q"]).collect()} == want
+
+
+def test_candidates_leave_out_no_agreeing_pair():
+    rnd = random.Random(27)
+    text = lambda n: "".join(rnd.choice("甲乙丙丁") for _ in range(n))
+    a, b = ([text(rnd.randint(1, 14)) for _ in range(120)] for _ in range(2))
+    for least in (0.5, 0.8, 0.9):
+        got = {(i, j) for i, js in overlap.may_agree(a, b, least) for j in js.tolist()}
+        want = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if overlap.agreement(x, y) >= least}
+        assert want and want <= got
+
+
 # 9
 
 
