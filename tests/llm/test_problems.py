@@ -353,6 +353,25 @@ def test_defects(spark):
     assert pairs.defects(df.limit(0)).count() == 0
 
 
+def test_openings_that_differ_in_a_slot_are_one_cluster(spark):
+    slots = ["本年第三季度", "试运行阶段", "二零年度", "报告期末"]
+    texts = [f"未检索到{x}年报证据资料库内没有相应内容" for x in slots] + ["恐怕帮您查不了这个季度的材料", "恐怕帮您查不了这个月份的材料", "结合存货明细说明跌价准备计提充分性"]
+    rows = [("m", f"s{i}", f"参考{i}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "config string, sample_id string, reference string, prediction string")
+    free = pairs.reply_rows(df, "config", "sample_id", "reference", "prediction").withColumn("opening_id", F.xxhash64("opening")).withColumn("lead_id", F.xxhash64("lead"))
+    of = {r["key"]: r["cluster"] for r in free.join(pairs.opening_clusters(free), "lead_id").collect()}
+    assert len({of[f"s{i}"] for i in range(4)}) == 1 and of["s4"] == of["s5"]
+    assert len(set(of.values())) == 3
+
+
+def test_refusals_with_a_slot_recur(spark):
+    slots = ["本年第三季度", "试运行阶段", "二零年度", "报告期末"]
+    rows = [("m", k, g, p) for k, g, p in answers()] + [("m", f"r{i}", f"结合存货情况说明跌价{i}", f"未检索到{x}年报证据资料库内没有相应内容") for i, x in enumerate(slots)]  # no word of DECLINES
+    df = spark.createDataFrame(rows, "config string, sample_id string, reference string, prediction string")
+    got = {r["key"]: r["defect"] for r in pairs.defects(df).collect()}
+    assert {got.get(f"r{i}") for i in range(4)} == {"refusal"} and sum(v == "refusal" for v in got.values()) == 4
+
+
 def test_copy_check_against_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))
