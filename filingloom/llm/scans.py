@@ -330,13 +330,16 @@ def scanned_noise(pages: DataFrame, repair: bool = True, **columns: str) -> Data
 
     Null and empty texts have no noise; pages without key are left out; an empty table gives no rows.
     """
-    text = columns.get("text", "text")
+    name = lambda c: columns.get(c, {"document": "document_id", "page": "page_number", "source": "source_file"}.get(c, c))
+    document, page, text = name("document"), name("page"), name("text")
+    once = pages.select(document, page, name("source"), text).filter(F.col(document).isNotNull() & F.col(page).isNotNull()).dropDuplicates([document, page])
+    pages = materialize(once, "pages")
     triples = materialize(triple_counts(pages, text), "triples")
     keys, meant = confirmed(pages, links(triples), text)
     words = {r[0] for r in common_words(pages, text).collect()}  # a vocabulary: bounded by the language, not by the pages
     parts = [page_noise(pages, keys[i : i + MAX_SENT_KEYS], meant[i : i + MAX_SENT_KEYS], words, repair=repair, **columns) for i in range(0, max(1, len(keys)), MAX_SENT_KEYS)]
     if len(parts) == 1:
-        return parts[0].dropDuplicates(["document_id", "page_number"])
+        return parts[0]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)

@@ -468,6 +468,20 @@ def test_scanned_noise(spark):
     assert scans.scanned_noise(df.limit(0)).count() == 0
 
 
+def test_redelivered_pages_count_once(spark):
+    rnd = random.Random(14)
+    path = "r/045003_甲乙电子/a/045003_甲乙电子2021年年度报告1700000000033.pdf"
+    page = lambda w: "。\n".join("本期%s业务实现收入%d万元，已列示" % (x, rnd.randint(1, 999)) for x in w)
+    rows = [("d", p, path, page(["存货", "电子"])) for p in range(1, 41)]
+    rows += [("d", p, path, "上市公司业务实现收入") for p in range(41, 50)]
+    bad = ("d", 60, path, "上市公可业务实现收入")
+    one = spark.createDataFrame(rows + [bad], "document_id string, page_number int, source_file string, text string")
+    many = spark.createDataFrame(rows + [bad] * 40, one.schema)
+    for df in (one, many):
+        out = {r["page_number"]: r for r in scans.scanned_noise(df).collect()}
+        assert len(out) == 50 and out[60]["noise"] == ["misread"] and out[60]["text"] == "上市公司业务实现收入"
+
+
 def test_skip_gram_vectors_separate_contexts():
     counts = np.zeros((4, scans.CONTEXTS))
     counts[0, :10] = counts[1, :10] = 20
