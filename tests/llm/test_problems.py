@@ -176,6 +176,18 @@ def test_repeated_lines_against_brute_force(spark):
     assert lines.repeated_lines(df.limit(0))[0].count() == 0
 
 
+def test_repeated_lines_of_a_large_source(spark):
+    rows = []
+    for f, n in [("big", 60), *((f"f{i}", 6) for i in range(20))]:
+        for p in range(1, n + 1):
+            rows.append((f, f, p, ("共有声明：不承担责任\n" if p <= (6 if f == "big" else 1) else "") + f"正文内容甲乙丙丁{f}第{p}"))
+    df = spark.createDataFrame(rows, "document_id string, source_file string, page_number int, text string")
+    for part in (df, df.filter("source_file = 'big'")):
+        found, pages = lines.repeated_lines(part)
+        assert {tuple(r) for r in found.collect()} == {("big", p, 1) for p in range(1, 7)}
+        assert [r["pages"] for r in lines.line_scores(pages).collect()] == [6]
+
+
 # 7
 
 
