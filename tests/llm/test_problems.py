@@ -338,6 +338,22 @@ def test_cut_texts_are_found(spark):
     assert cutoff.cut_scores(df.limit(0), "config", "sample_id", "prediction", "reference").count() == 0
 
 
+def test_endings_matched_by_a_join_give_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([("m", k, g, p) for k, g, p in answers(60)], "config string, sample_id string, reference string, prediction string")
+    run = lambda: {r["key"]: round(r["p_cut"], 9) for r in cutoff.cut_scores(df, "config", "sample_id", "prediction", "reference").collect()}
+    sent = run()
+    monkeypatch.setattr(cutoff, "MAX_SENT_ENDINGS", 0)
+    assert run() == sent
+
+
+def test_long_texts_make_no_limit(spark):
+    rnd = random.Random(12)
+    rows = [("m", rnd.randint(20_000, 90_000)) for _ in range(400)] + [("m", rnd.randint(50, 900)) for _ in range(400)] + [("m", 32_767)] * 30
+    lens = spark.createDataFrame(rows, "s string, len int").withColumn("unit", F.lit("chars"))
+    assert [r["len"] for r in cutoff.limits(lens).collect()] == [32_767]
+    assert cutoff.limits(lens.limit(0)).count() == 0
+
+
 def test_censored_fit_recovers_the_distribution():
     rng = np.random.default_rng(1)
     x = np.maximum(1, np.round(np.exp(rng.normal(4.5, 0.6, 20_000)))).astype(int)
@@ -370,12 +386,49 @@ def test_openings_that_differ_in_a_slot_are_one_cluster(spark):
     texts = [f"未检索到{x}年报证据资料库内没有相应内容" for x in slots] + ["恐怕帮您查不了这个季度的材料", "恐怕帮您查不了这个月份的材料", "结合存货明细说明跌价准备计提充分性"]
     rows = [("m", f"s{i}", f"参考{i}", t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "config string, sample_id string, reference string, prediction string")
-    free = pairs.reply_rows(df, "config", "sample_id", "reference", "prediction").withColumn("opening_id", F.xxhash64("opening")).withColumn("lead_id", F.xxhash64("lead"))
-    of = {r["key"]: r["cluster"] for r in free.join(pairs.opening_clusters(free), "lead_id").collect()}
+    free = pairs.lead_rows(pairs.reply_rows(df, "config", "sample_id", "reference", "prediction", np.zeros(0, np.int64)))
+    of = {r["key"]: r["cluster"] for r in free.join(pairs.lead_clusters(free), "lead_id").collect()}
     assert len({of[f"s{i}"] for i in range(4)}) == 1 and of["s4"] == of["s5"]
     assert len(set(of.values())) == 3
 
 
+def lead_sets(n=260):
+    """Different leads of 40 templates, most of them of one, with a slot of up to half the words; and which pairs are SIMILAR."""
+    rnd = random.Random(15)
+    word = lambda: chr(0x4E00 + rnd.randint(0, 20_000))
+    base = [[word() for _ in range(24)] for _ in range(40)]
+    leads = []
+    for i in range(n):
+        b = list(base[0 if i % 3 == 0 else rnd.randrange(40)])
+        at, size = rnd.randint(0, 12), rnd.randint(1, 11)
+        leads.append(b[:at] + [word() for _ in range(size)] + b[at + size :])
+    sets = [pairs.shingles(x) for x in leads]
+    pair = {(i, j) for i in range(n) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= pairs.SIMILAR * len(np.union1d(sets[i], sets[j]))}
+    return sets, pair
+
+
+@pytest.mark.parametrize("most", [pairs.BUCKET, 7])
+def test_clusters_of_leads_against_brute_force(spark, most):
+    sets, pair = lead_sets()
+    bands = pairs.band_keys(sets)
+    met = {(i, j) for i, j in pair if set(bands[i].tolist()) & set(bands[j].tolist())}
+    assert len(pair) > 500 and len(met) >= 0.99 * len(pair)  # recall of the buckets
+    df = spark.createDataFrame([(i, s.tolist(), b.tolist()) for i, (s, b) in enumerate(zip(sets, bands, strict=True))], "lead_id bigint, lead array<bigint>, bands array<bigint>")
+    got = defaultdict(set)
+    for r in pairs.lead_clusters(df, most).collect():
+        got[r["cluster"]].add(r["lead_id"])
+    assert {frozenset(v) for v in got.values() if len(v) > 1} == brute_components(pair)
+    assert pairs.lead_clusters(df.limit(0)).count() == 0
+
+
+def test_a_bucket_that_does_not_shrink_is_compared_in_blocks(spark):
+    rnd = random.Random(16)
+    sets = [np.unique([rnd.getrandbits(60) for _ in range(10)]) for _ in range(40)]
+    sets += [s[:8].copy() for s in sets[:6]]
+    df = spark.createDataFrame([(1, i, s.tolist()) for i, s in enumerate(sets)], "band bigint, lead_id bigint, lead array<bigint>")
+    assert {tuple(sorted(r)) for r in pairs.near_leads(df, 5).collect()} == {(i, 40 + i) for i in range(6)}
+
+
 def test_refusals_with_a_slot_recur(spark):
     slots = ["本年第三季度", "试运行阶段", "二零年度", "报告期末"]
     rows = [("m", k, g, p) for k, g, p in answers()] + [("m", f"r{i}", f"结合存货情况说明跌价{i}", f"未检索到{x}年报证据资料库内没有相应内容") for i, x in enumerate(slots)]  # no word of DECLINES
@@ -384,6 +437,20 @@ def test_refusals_with_a_slot_recur(spark):
     assert {got.get(f"r{i}") for i in range(4)} == {"refusal"} and sum(v == "refusal" for v in got.values()) == 4
 
 
+def test_refusals_rest_on_the_clusters(spark, monkeypatch):
+    rows = [("m", k, g, p) for k, g, p in answers()]
+    refuse = ["未检索到%s年报证据资料库内没有相应内容" % x for x in ("本年第三季度", "试运行阶段", "二零年度")] + ["资料库没有相应内容而未检索到证据"]
+    rows = [(c, k, g, refuse[i] if i < 4 else "结合存") if i < 7 else (c, k, g, p) for i, (c, k, g, p) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "config string, sample_id string, reference string, prediction string")
+    found = lambda: {r["key"] for r in pairs.defects(df).collect() if r["defect"] == "refusal"}
+    assert found() == {"s0", "s1", "s2", "s3"}  # the last by the wording of the first three
+    monkeypatch.setattr(pairs, "MAX_SENT_SHINGLES", 0)
+    assert found() == {"s0", "s1", "s2", "s3"}
+    alone = lambda rows, most=0: rows.select("lead_id", F.col("lead_id").alias("cluster")).distinct()
+    monkeypatch.setattr(pairs, "lead_clusters", alone)
+    assert found() == set()
+
+
 def test_copy_check_against_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -398,7 +465,7 @@ def test_copy_check_against_edit_distance():
     for _ in range(150):
         a, b = ("".join(rnd.choice("甲乙丙") for _ in range(rnd.randint(1, 12))) for _ in range(2))
         assert pairs.edits_to_tail(a, b) == min(distance(a, b[i:]) for i in range(len(b) + 1))
-    assert pairs.is_copy("您想问的是:请说明存货的变动原因", "请说明存货的变动原因") and not pairs.is_copy("请说明存货", "请说明存货的变动原因")
+    assert pairs.is_copy("您想问的是:请说明存货的变动原因", "请说明存货的变动原因") and pairs.is_copy("好" * 38 + "请说明存货的变动原因" * 4, "请说明存货的变动原因" * 4) and not pairs.is_copy("请说明存货", "请说明存货的变动原因")
 
 
 # 10
