@@ -199,9 +199,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as readable paragraphs, with its noise and whether it was listed for recognition."""
-    listed = table(spark, sf_dir, "ocr_priority_pages").select("source_file", "page_number").distinct().withColumn("listed", F.lit(True))
-    pages = table(spark, sf_dir, "page_records")
-    where = pages.select("document_id", "page_number", "source_file").distinct()
-    n = scans.scanned_noise(pages).join(where, ["document_id", "page_number"]).join(listed, ["source_file", "page_number"], "left")
-    return n.select("document_id", "page_number", F.array_join("noise", ",").alias("noise"), "text", F.coalesce("listed", F.lit(False)).alias("listed"))
+    """Every page once with its noise; a scanned page as readable paragraphs, any other as it is.
+
+    Scanned is a page with noise, one whose extraction didn't succeed, and one listed for recognition with fewer characters than it has now.
+    """
+    pages = table(spark, sf_dir, "page_records").filter("document_id is not null and page_number is not null").dropDuplicates(["document_id", "page_number"])
+    first = table(spark, sf_dir, "ocr_priority_pages").groupBy("source_file", "page_number").agg(F.min("char_count").alias("first_count"))
+    state = pages.select("document_id", "page_number", "source_file", "extraction_status", F.length("text").alias("now")).join(first, ["source_file", "page_number"], "left")
+    n = scans.scanned_noise(pages).join(state, ["document_id", "page_number"])
+    scanned = (F.size("noise") > 0) | F.coalesce(F.col("extraction_status") != "success", F.lit(False)) | F.coalesce(F.col("first_count") < F.col("now"), F.lit(False))
+    return n.select("document_id", "page_number", F.array_join("noise", ",").alias("noise"), scans.paragraphs(F.col("text"), scanned & (F.size("noise") == 0)).alias("text"), scanned.alias("scanned"))

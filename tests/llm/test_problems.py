@@ -510,9 +510,11 @@ def test_page_rules():
         assert not scans.is_title(line, *title), line
     for line in ("7", "-7-", "—7—", "第7页", "7/12", "第7页共12页", "Page7of12", "·7·"):
         assert scans.is_page_number(line, 7) and not scans.is_page_number(line, 8)
-    assert not scans.is_page_number("7年", 7) and scans.number_fixes("2O24年1l9.55%,RMB 5") == "2024年119.55%,RMB 5"
-    assert scans.word_fixes("peri0d RM8", frozenset({"period", "rmb"})) == "period RMB"
+    assert not scans.is_page_number("7年", 7) and scans.mended("2O24", {"N:0O0": 0}) == "2024" and scans.mended("1l9.55", {"N:0l0.0": 0}) == "119.55" and scans.mended("5", {}) is None
+    assert scans.mended("peri0d", {"W:peri0d": 0}) == "period" and scans.mended("RM8", {"W:rm8": 0}) == "RMB" and scans.mended("L1m1ted", {"W:l1m1ted": 3}) == "Limited"
+    assert scans.token_forms("1,2O4.5") == ["N:0O0.0"] and scans.token_forms("B2B") == ["N:B0B", "W:b2b"] and scans.token_forms("2024") == ["N:0"]
     assert scans.reflow("公司收入\n下降。\n新的 line\nwrap") == "公司收入下降。\n新的 line wrap"
+    assert scans.reflow("编号7216892\n本页内容经核对并由公司董事会批准报出\n（一）存货\n存货期末余额较上期增加并且超过了收入的\n增长。") == "编号7216892\n本页内容经核对并由公司董事会批准报出\n（一）存货\n存货期末余额较上期增加并且超过了收入的增长。"
 
 
 def test_scanned_noise(spark):
@@ -561,10 +563,41 @@ def test_redelivered_pages_count_once(spark):
         assert len(out) == 50 and out[60]["noise"] == ["misread"] and out[60]["text"] == "上市公司业务实现收入"
 
 
-def test_skip_gram_vectors_separate_contexts():
-    counts = np.zeros((4, scans.CONTEXTS))
-    counts[0, :10] = counts[1, :10] = 20
-    counts[2, 40:50] = counts[3, 40:50] = 20
-    u = scans.skip_gram_vectors(counts)
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    assert u[0] @ u[1] > 0.8 and u[2] @ u[3] > 0.8 and u[0] @ u[2] < 0.5
+def misread_pages():
+    rnd = random.Random(24)
+    path = "r/045003_甲乙电子/a/045003_甲乙电子2021年年度报告1700000000033.pdf"
+    item = lambda: rnd.choice(["存货", "商誉", "应收账款", "固定资产"])
+    rows = []
+    for p in range(1, 401):
+        s = [f"本期未发生重大变更的{item()}共{rnd.randint(10, 99)}项", f"期末{item()}余额为{rnd.randint(1000, 9999)}.{rnd.randint(10, 99)}万元", f"the period of {item()} was settled"]
+        if p % 8 == 0:
+            s.append(f"期末发出商品{item()}不受限制")  # looks like a reading of 期未发, but stands in other contexts
+        if p % 16 == 1:
+            s[0] = s[0].replace("大", "太")
+        if p % 16 == 3:
+            s[1] = s[1].replace(".", "O.", 1)
+        if p % 40 == 5:
+            s[2] = s[2].replace("period", "peri0d")
+        if p % 8 == 6:
+            s.append("门店采用B2B与O2O平台模式开展")  # letters in a number by shape only
+        rows.append(("d", p, path, "。\n".join(s) + "。"))
+    return rows, {p for p in range(1, 401) if p % 16 in (1, 3) or p % 40 == 5}
+
+
+def test_vectors_decide_what_is_misread(spark, monkeypatch):
+    rows, want = misread_pages()
+    df = spark.createDataFrame(rows, "document_id string, page_number int, source_file string, text string")
+    run = lambda: {r["page_number"]: (tuple(r["noise"]), r["text"]) for r in scans.scanned_noise(df).collect()}
+    sound = run()
+    assert {p for p, (noise, _) in sound.items() if noise} == want
+    assert "2O" not in sound[3][1] and "period" in sound[5][1] and "重大" in sound[1][1] and "期末发出" in sound[8][1] and "B2B" in sound[6][1]
+    monkeypatch.setattr(scans, "MAX_SENT_LINKS", 0)
+    assert run() == sound
+    monkeypatch.setattr(scans, "COSINE", -2)
+    assert {p for p, (noise, _) in run().items() if noise} > want  # without the vectors, sound words are misread
+
+
+def test_skip_gram_vectors_separate_contexts(spark):
+    rows = [(w, c + 40 * (w > 1), 20) for w in range(4) for c in range(10)]
+    v = {r["word"]: np.array(r["vector"]) for r in scans.vectors(spark.createDataFrame(rows, "word bigint, context int, n bigint")).collect()}
+    assert v[0] @ v[1] > 0.8 and v[2] @ v[3] > 0.8 and v[0] @ v[2] < 0.5
