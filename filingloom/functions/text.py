@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,13 +48,10 @@ def report_text(x: Col) -> Column:
 
 def compact(x: Col) -> Column:
     """Question text without board disclaimer, page marks, page numbers and code lines, on one line, stripped of space and semicolons."""
-    w = R.WS
-    t = F.regexp_replace(_c(x), "(?s)本公司董事会及全体董事保证.{0,260}?法律责任。", "")
-    t = F.regexp_replace(t, "\\[\\[PAGE:\\d+]]", "")
-    for line in (f"第{w}*\\d+{w}*页{w}*共{w}*\\d+{w}*页", f"-{w}*\\d+{w}*-", "\\d+"):
-        t = F.regexp_replace(t, f"(?md)^{w}*{line}{w}*$", "")
-    t = F.regexp_replace(t, f"(?md)^{w}*(?:证券代码[:：].*|证券简称[:：].*|公告编号[:：].*)$", "")
-    t = _between_han(F.regexp_replace(_blanks(t), f"{w}*\n{w}*", ""))
+    t = F.regexp_replace(F.regexp_replace(_c(x), R.BOARD_NOTE, ""), R.PAGE_MARK, "")
+    for line in R.DROPPED_LINES:
+        t = F.regexp_replace(t, "(?md)" + line, "")
+    t = _between_han(F.regexp_replace(_blanks(t), f"{R.WS}*\n{R.WS}*", ""))
     return F.regexp_replace(t, "^[ \n\t；;]+|[ \n\t；;]+$", "")
 
 
@@ -67,11 +66,28 @@ def answer_text(x: Col) -> Column:
 
 
 def strip_requester(x: Col) -> Column:
-    t = strip(F.regexp_replace(_c(x), "^请(?:公司|你公司)[:：]?", ""))
-    t = strip(F.regexp_replace(t, "^请(?=补充披露|结合|说明|列示|分析|核实)", ""))
+    """A request without the words that name who is asked, and without marks at its ends."""
+    t = strip(F.regexp_replace(_c(x), "^" + R.REQUESTER, ""))
+    t = strip(F.regexp_replace(t, f"^请(?={R.one_of(R.LEADING_VERBS)})", ""))
     return F.regexp_replace(t, "^[ ，,。；;]+|[ ，,。；;]+$", "")
 
 
+def is_complete(x: Col) -> Column:
+    """Not empty and without a sign that something was left out; false for null."""
+    return F.coalesce((_c(x) != "") & ~_c(x).rlike(R.OMISSION), F.lit(False))
+
+
+def topic_query(topic: Col, keywords: Col) -> Column:
+    """The query of a risk topic: its name and its words."""
+    return F.concat_ws(" ", _c(topic), _c(keywords))
+
+
+def fill(template: str, **values: Column) -> Column:
+    """The template with every {name} replaced by its column; a null value is empty."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.coalesce(values[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
 def background(x: Col) -> Column:
     """The text before the first request."""
     return F.split(_c(x), R.REQUEST_TRIGGER, 2).getItem(0)
@@ -111,7 +127,7 @@ def page_range(start: Col, end: Col) -> Column:
 
 def topic_title(*sources: Col) -> Column:
     """The first heading phrase among the sources, without marks at its end."""
-    found = [F.nullif(F.regexp_extract(F.coalesce(_c(s), F.lit("")), "关于[^。；：:\\n]{1,60}", 0), F.lit("")) for s in sources]
+    found = [F.nullif(F.regexp_extract(F.coalesce(_c(s), F.lit("")), R.TOPIC, 0), F.lit("")) for s in sources]
     return F.regexp_replace(F.coalesce(*found), "[。；：: ]+$", "")
 
 

@@ -44,9 +44,11 @@ def question_issues(q: DataFrame, parent: tuple[int, int] = (30, 5000), child: t
 
 
 def ocr_priority(pages: DataFrame, least: int = 50) -> DataFrame:
-    """Annual-report pages that need recognition or hold little text, with the reason."""
-    p = pages.filter("document_type = 'annual_report'").filter((F.col("extraction_status") == "needs_ocr") | (F.col("char_count") < least))
-    return p.select("stock_code", "report_year", "source_file", "page_number", "char_count", F.when(F.col("extraction_status") == "needs_ocr", "needs_ocr").otherwise("sparse_text").alias("priority_reason"))
+    """Annual-report pages that need recognition or hold little text, with the reason; re-delivered pages count once, a null count is 0."""
+    count = F.coalesce("char_count", F.lit(0))
+    p = pages.filter("document_type = 'annual_report'").filter(F.coalesce(F.col("extraction_status") == "needs_ocr", F.lit(False)) | (count < least))
+    columns = ["company", "stock_code", "report_year", "source_file", "page_number", "char_count", "extraction_status"]
+    return p.dropDuplicates(["document_id", "page_number"]).withColumn("char_count", count).select(*columns, F.when(F.col("extraction_status") == "needs_ocr", "needs_ocr").otherwise("sparse_text").alias("priority_reason"))
 
 
 def parse_status(pages: DataFrame) -> DataFrame:

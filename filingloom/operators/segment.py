@@ -13,16 +13,16 @@ from pyspark.sql import types as TY
 
 from ..functions import rules as R
 
-_HAN_GAP = re.compile(r"(?<=[一-鿿])\s+(?=[一-鿿])")
-_LINES = re.compile(r"(?m)^\s*(?:第\s*\d+\s*页\s*共\s*\d+\s*页|-\s*\d+\s*-|\d+)\s*$|^\s*(?:证券代码[:：]|证券简称[:：]|公告编号[:：]).*$")
-_DISCLAIMER = re.compile(r"本公司董事会及全体董事保证.{0,260}?法律责任。|\[\[PAGE:\d+]]", re.S)
+_SPACE = re.compile(f"{R.WS}*\n{R.WS}*")
+_HAN_GAP = re.compile(f"(?<={R.HAN}){R.WS}+(?={R.HAN})")
+_DROPS = [re.compile(R.BOARD_NOTE), re.compile(R.PAGE_MARK), *(re.compile("(?m)" + x) for x in R.DROPPED_LINES)]
 
 
 def compact(t: str) -> str:
     """As ``functions.text.compact``, for one string."""
-    t = _LINES.sub("", _DISCLAIMER.sub("", t))
-    t = re.sub(r"\s*\n\s*", "", re.sub(r"[ \t\r\f\v]+", " ", t))
-    return _HAN_GAP.sub("", t).strip(" \n\t；;")
+    for drop in _DROPS:
+        t = drop.sub("", t)
+    return _HAN_GAP.sub("", _SPACE.sub("", re.sub("[ \t\r\f\v]+", " ", t))).strip(" \n\t；;")
 
 
 def merge_spans(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -54,8 +54,9 @@ def without_professional(t: str) -> tuple[str, str]:
 
 
 def strip_requester(t: str) -> str:
-    t = re.sub(r"^请(?:公司|你公司)[:：]?", "", t).strip()
-    return re.sub(r"^请(?=补充披露|结合|说明|列示|分析|核实)", "", t).strip().strip(" ，,。；;")
+    """As ``functions.text.strip_requester``, for one string."""
+    t = re.sub("^" + R.REQUESTER, "", t).strip()
+    return re.sub(f"^请(?={R.one_of(R.LEADING_VERBS)})", "", t).strip().strip(" ，,。；;")
 
 
 def is_request(t: str, least: int = 8) -> bool:
@@ -69,10 +70,15 @@ def _markers(t: str, trigger: str, skip: list[tuple[int, int, str]]) -> list[re.
     return [m for m in re.compile(R.CHILD_MARKER).finditer(t, first.start() if first else 0) if not any(a <= m.start() < b for a, b, _ in spans)]
 
 
+def child_marks(t: str) -> list[re.Match]:
+    """Marks of sub-questions of a cleaned parent: behind its first request, outside of references and requests to advisers."""
+    return _markers(t, R.REQUEST_TRIGGER, professional_spans(t))
+
+
 def children(t: str) -> list[tuple[str, str, str]]:
     """(label, text, method) of the numbered sub-questions of a parent, else of its requests split at semicolons."""
     t = compact(t)
-    marks = _markers(t, R.REQUEST_TRIGGER, professional_spans(t))
+    marks = child_marks(t)
     if marks:
         ends = [m.start() for m in marks[1:]] + [len(t)]
         texts = [(m[1], compact(t[m.end() : e])) for m, e in zip(marks, ends, strict=True)]
@@ -109,7 +115,7 @@ def before_answer(block: str) -> str:
 
 def topic_of(*sources: str) -> str:
     for s in sources:
-        if m := re.search(r"关于[^。；：:\n]{1,60}", s):
+        if m := re.search(R.TOPIC, s):
             return m[0].rstrip("。；：: ")
     return sources[-1].rstrip("。；：: ")
 
@@ -127,6 +133,38 @@ def parent_blocks(t: str) -> list[tuple[int, int, str, str, str]]:
     return out
 
 
+def numbered_blocks(t: str, numbers: str = "[1-7]") -> list[tuple[int, int, int, str, str]]:
+    """(number, start, stop, topic, block) of the numbered questions of a letter: from a numbered line to the next, to a section title or to the footer."""
+    starts = list(re.finditer(rf"(?m)^\s*({numbers})\.", t))
+    sections, footer = re.compile(R.SECTION_TITLE), re.compile(R.FOOTER)
+    titles = [(m.start(), m[1]) for m in sections.finditer(t)]
+    out = []
+    for m, end in zip(starts, [*(x.start() for x in starts[1:]), len(t)], strict=False):
+        for stop in (sections, footer):
+            if cut := stop.search(t, m.end(), end):
+                end = cut.start()
+        block = footer.split(compact(t[m.start() : end]))[0].strip(" ，,。；;")
+        own = re.search(R.OWN_TOPIC, block)
+        earlier = [s for at, s in titles if at < m.start()]
+        topic = own[1].strip() if own else compact(earlier[-1]).split("、", 1)[-1] if earlier else ""
+        out.append((int(m[1]), m.start(), end, topic, block))
+    return out
+
+
+def source_texts(pages: DataFrame, keys: list[str], page: str = "page_number", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """((keys, text), (keys, page, from_, to_)): the pages of each key in order under page marks, and where each page's own text stands in it.
+
+    Null texts are empty. One text per key is gathered: a letter, not a corpus.
+    """
+    p = pages.select(*keys, F.col(page).alias("page"), F.coalesce(text, F.lit("")).alias("t"), "document_id")
+    mark = F.concat(F.lit("\n[[PAGE:"), F.col("page").cast("string"), F.lit("]]\n"))
+    whole = p.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "document_id", F.concat(mark, "t", F.lit("\n")).alias("c")))), lambda s: s["c"]), "").alias("text"))
+    n = p.select(*keys, "page", "document_id", F.length(mark).alias("m"), F.length("t").alias("n"))
+    order = W.partitionBy(*keys).orderBy("page", "document_id").rowsBetween(W.unboundedPreceding, -1)
+    spans = n.withColumn("from_", F.coalesce(F.sum(F.col("m") + F.col("n") + 1).over(order), F.lit(0)) + F.col("m"))
+    return whole, spans.select(*keys, "page", "from_", (F.col("from_") + F.col("n")).alias("to_"))
+
+
 def explode_rows(df: DataFrame, text: str, keep: list[str], fields: str, f: Callable[[str], list[tuple]]) -> DataFrame:
     """keep, ord (from 1) and ``fields`` for every tuple that ``f`` gives for the text, over Arrow batches. A null text gives no rows."""
     kind = TY.ArrayType(TY.StructType.fromDDL(fields))

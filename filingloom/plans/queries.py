@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import dataset, evaluate, quality, retrieve, segment
+from ..operators import cleaning, dataset, evaluate, quality, retrieve, segment
 from ..session import materialize, ship, table
 from ..sources import io
 from . import oracle as O
@@ -69,7 +69,10 @@ def bm25_top10_by_report(spark, sf):
     return retrieve.bm25(_report_docs(spark, sf), _report_queries(spark, sf), ["report"], 10).withColumn("score", F.round("score", 6))
 
 
-@query()
+_TOPICS = f"ts AS (SELECT DISTINCT 'all' part, topic_title query_id, topic_title text FROM {O.QUESTIONS} WHERE topic_title <> '')"
+
+
+@query("WITH " + O.CHUNKS + "," + _DOCS + ", ad AS (SELECT 'all' part, doc_id, text FROM docs)," + _TOPICS + "," + O.bm25("ad", "ts", "part", 3))
 def bm25_top3_global(spark, sf):
     """The three best chunks of all reports for every topic."""
     q = questions(spark, sf).filter("topic_title != ''").select(F.col("topic_title").alias("query_id"), F.col("topic_title").alias("text")).distinct()
@@ -81,17 +84,17 @@ def chunk_windows(spark, sf):
     return retrieve.report_chunks(table(spark, sf, "page_records")).select("stock_code", "report_year", "chunk_no", "text")
 
 
-@query()
+@query("WITH " + O.CHUNKS + "," + O.CHUNK_PAGES + f" SELECT stock_code, report_year, chunk_no, page_start, page_end, {O.PAGE_RANGE} pages FROM chunks LEFT JOIN ranges USING (stock_code, report_year, chunk_no)")
 def chunk_page_ranges(spark, sf):
     return retrieve.report_chunks(table(spark, sf, "page_records")).select("stock_code", "report_year", "chunk_no", "page_start", "page_end", T.page_range("page_start", "page_end").alias("pages"))
 
 
-@query(f"SELECT document_id, page_number, term, count(*) n FROM (SELECT document_id, page_number, unnest({O.tokens('text')}) term FROM {O.PAGES}) GROUP BY ALL")
+@query(f"SELECT document_id, page_number, term, count(*) n FROM ({O.term_rows('document_id, page_number', 'text', O.PAGES)}) GROUP BY ALL")
 def tokenize_term_counts(spark, sf):
     return pages(spark, sf).select("document_id", "page_number", F.explode(T.tokens("text")).alias("term")).groupBy("document_id", "page_number", "term").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH t AS (SELECT document_type, document_id, page_number, unnest({O.tokens('text')}) term FROM {O.PAGES}) SELECT document_type, term, count(DISTINCT document_id || ':' || page_number) df, count(*) tf FROM t GROUP BY ALL")
+@query(f"WITH t AS ({O.term_rows('document_type, document_id, page_number', 'text', O.PAGES)}) SELECT document_type, term, count(DISTINCT document_id || ':' || page_number) df, count(*) tf FROM t GROUP BY ALL")
 def corpus_stats(spark, sf):
     t = pages(spark, sf).select("document_type", "document_id", "page_number", F.explode(T.tokens("text")).alias("term"))
     tf = t.groupBy("document_type", "term", "document_id", "page_number").agg(F.count("*").alias("n"))
@@ -142,7 +145,12 @@ def report_year(spark, sf):
     return table(spark, sf, "filings").dropDuplicates(["document_id"]).select("document_id", T.report_year("filename").alias("year"))
 
 
-@query()
+_NUMBERED = O.compact("coalesce(coalesce(parent_question_text, question_text), '')")
+
+
+@query(f"""
+WITH q AS (SELECT question_id, nullif(regexp_extract({_NUMBERED}, {O.lit(R.QUESTION_NUMBER)}, 1), '') n FROM {O.QUESTIONS})
+SELECT question_id, coalesce({O.numeral('n')}, try_cast(nullif(regexp_extract(question_id, '_q(\\d+)', 1), '') AS INT), 0)::INT AS number FROM q""")
 def question_number(spark, sf):
     return questions(spark, sf).select("question_id", T.question_number(F.coalesce("parent_question_text", "question_text"), "question_id", F.lit(0)).alias("number"))
 
@@ -183,7 +191,7 @@ def question_issues(spark, sf):
     return quality.question_issues(table(spark, sf, "question_records"))
 
 
-@query("SELECT stock_code, report_year, source_file, page_number, char_count, CASE WHEN extraction_status = 'needs_ocr' THEN 'needs_ocr' ELSE 'sparse_text' END AS priority_reason FROM page_records WHERE document_type = 'annual_report' AND (extraction_status = 'needs_ocr' OR char_count < 50)")
+@query(f"SELECT company, stock_code, report_year, source_file, page_number, coalesce(char_count, 0)::INT char_count, extraction_status, CASE WHEN extraction_status = 'needs_ocr' THEN 'needs_ocr' ELSE 'sparse_text' END AS priority_reason FROM {O.PAGES} WHERE document_type = 'annual_report' AND (extraction_status = 'needs_ocr' OR coalesce(char_count, 0) < 50)")
 def ocr_priority(spark, sf):
     return quality.ocr_priority(table(spark, sf, "page_records"))
 
@@ -198,26 +206,24 @@ def parse_status(spark, sf):
 
 @query("""
 WITH f AS (SELECT DISTINCT relative_path, string_split(relative_path, '/') p FROM filings),
-  g AS (SELECT *, p[2] folder, p[-1] file, CASE WHEN len(p) > 3 THEN p[3] ELSE '' END role FROM f),
+  g AS (SELECT *, p[2] folder, p[-1] file, CASE WHEN len(p) > 2 THEN p[3] ELSE '' END role FROM f),
   k AS (SELECT *, CASE WHEN contains(upper(file), 'MISSING') THEN 'missing_notice' WHEN role IN ('annual_report', 'inquiry', 'reply', 'supporting') THEN role ELSE 'unknown' END kind FROM g),
   s AS (SELECT *, CASE WHEN kind = 'supporting' AND len(p) > 4 THEN p[4] ELSE '' END subtype, coalesce(nullif(regexp_extract(file, '20\\d{2}'), ''), '2024') y, string_split(folder, '_')[1] code FROM k)
 SELECT relative_path, code stock_code, substr(folder, length(code) + 2) company, kind document_type, subtype supporting_subtype, y report_year, file filename,
-  concat_ws('_', nullif(code, ''), y, kind, nullif(subtype, ''), substr(sha1(relative_path), 1, 8)) document_id FROM s""")
+  concat_ws('_', nullif(code, ''), y, kind, CASE WHEN kind = 'missing_notice' THEN nullif(role, '') END, nullif(subtype, ''), substr(sha1(relative_path), 1, 8)) document_id FROM s""")
 def manifest(spark, sf):
     return io.manifest(table(spark, sf, "filings").select("relative_path").distinct())
 
 
-_PRIORITY = {"inquiry": 0, "reply": 1, "supporting": 2}
-
-
 @query("""
-WITH f AS (SELECT DISTINCT ON (document_id) *, CASE document_type WHEN 'inquiry' THEN 0 WHEN 'reply' THEN 1 WHEN 'supporting' THEN 2 END pr FROM filings WHERE NOT is_missing AND parse_status <> 'failed'),
+WITH f AS (SELECT DISTINCT ON (document_id) *, CASE document_type WHEN 'inquiry' THEN 0 WHEN 'reply' THEN 1 WHEN 'supporting' THEN 2 END pr,
+    CASE coalesce(supporting_subtype, '') WHEN 'auditor_reply' THEN 2 WHEN 'sponsor_or_broker' THEN 3 WHEN 'independent_director' THEN 4 WHEN '' THEN 5 ELSE 9 END sub FROM filings WHERE NOT is_missing AND parse_status <> 'failed'),
   g AS (SELECT *, min(pr) OVER (PARTITION BY stock_code) best FROM f WHERE pr IS NOT NULL),
-  h AS (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY supporting_subtype, relative_path) n FROM g WHERE pr = best)
-SELECT stock_code, document_id, document_type FROM h WHERE pr < 2 OR n = 1""")
+  h AS (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY sub, relative_path) n FROM g WHERE pr = best)
+SELECT stock_code, document_id, document_type, supporting_subtype FROM h WHERE pr < 2 OR n = 1""")
 def source_priority(spark, sf):
     f = table(spark, sf, "filings").dropDuplicates(["document_id"])
-    return dataset.routed_sources(f, _PRIORITY).select("stock_code", "document_id", "document_type")
+    return dataset.routed_sources(f).select("stock_code", "document_id", "document_type", "supporting_subtype")
 
 
 @query(f"""
@@ -237,9 +243,13 @@ def target_join(spark, sf):
     return s.join(q, "sample_id").select("sample_id", "split", "question_level")
 
 
-@query("SELECT code, count(DISTINCT split) AS splits FROM (SELECT metadata.stock_code code, split FROM split_samples) GROUP BY 1 HAVING count(DISTINCT split) > 1")
+@query("SELECT metadata.stock_code code, count(DISTINCT split) AS splits, count(DISTINCT split) = 1 AS disjoint FROM split_samples GROUP BY 1")
 def split_disjointness(spark, sf):
-    return dataset.split_overlaps(table(spark, sf, "split_samples").select(F.col("metadata.stock_code").alias("code"), "split"), "code")
+    """Every code with its number of splits; one that isn't disjoint stands in more than one."""
+    s = table(spark, sf, "split_samples").select(F.col("metadata.stock_code").alias("code"), "split")
+    n = s.groupBy("code").agg(F.countDistinct("split").alias("splits"))
+    bad = dataset.split_overlaps(s, "code").select("code", F.lit(False).alias("bad"))
+    return n.join(bad, "code", "left").select("code", "splits", F.coalesce("bad", F.lit(True)).alias("disjoint"))
 
 
 @query("SELECT split, metadata.stock_code code, count(*) n FROM (SELECT DISTINCT ON (sample_id) * FROM split_samples) GROUP BY ALL")
@@ -247,10 +257,18 @@ def split_sizes(spark, sf):
     return table(spark, sf, "split_samples").dropDuplicates(["sample_id"]).groupBy("split", F.col("metadata.stock_code").alias("code")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT metadata.stock_code stock_code FROM split_samples WHERE metadata.stock_code NOT IN (SELECT stock_code FROM question_records WHERE stock_code IS NOT NULL)")
+@query("SELECT DISTINCT stock_code FROM question_records WHERE stock_code IS NOT NULL AND stock_code NOT IN (SELECT metadata.stock_code FROM split_samples WHERE metadata.stock_code IS NOT NULL)")
 def unassigned_codes(spark, sf):
-    s = table(spark, sf, "split_samples").select(F.col("metadata.stock_code").alias("stock_code"))
-    return dataset.entity_splits(s.filter("stock_code is not null"), table(spark, sf, "question_records").select("stock_code").distinct())[1]
+    """Codes of questions, as written, that the present splits don't name."""
+    q = table(spark, sf, "question_records").filter("stock_code is not null")
+    return dataset.unassigned(q, table(spark, sf, "split_samples").select(F.col("metadata.stock_code").alias("stock_code")))
+
+
+@query(f"SELECT q.question_id, m.split FROM {O.QUESTIONS} q JOIN (SELECT metadata.stock_code c, min(split) split FROM split_samples GROUP BY 1) m ON m.c = q.stock_code")
+def assigned_questions(spark, sf):
+    """Questions with the split of their company; those of codes without one are listed by unassigned_codes."""
+    a = table(spark, sf, "split_samples").select(F.col("metadata.stock_code").alias("stock_code"), "split")
+    return dataset.entity_splits(questions(spark, sf), a, strict=False).select("question_id", "split")
 
 
 _G = "(SELECT DISTINCT question_id gold_id, question_text t FROM question_records WHERE question_level = 'subquestion' AND length(question_text) > 0)"
@@ -258,11 +276,12 @@ _G = "(SELECT DISTINCT question_id gold_id, question_text t FROM question_record
 
 @query(f"""
 WITH g AS (SELECT DISTINCT gold_id, substr(t, s.i::INT + 1, 15) w FROM {_G}, unnest(range(0, greatest(0, length(t) - 16) + 1, 5)) s(i)),
-  p AS (SELECT DISTINCT sample_id || '|' || config input_id, prediction t FROM {O.PREDICTIONS} WHERE length(prediction) >= 15),
-  i AS (SELECT DISTINCT input_id, substr(t, s.i::INT + 1, 15) w FROM p, unnest(range(0, length(t) - 14)) s(i))
+  p AS (SELECT DISTINCT sample_id || '|' || config input_id, prediction t FROM {O.PREDICTIONS} WHERE length(prediction) > 0),
+  z AS (SELECT DISTINCT length(w) size FROM g),
+  i AS (SELECT DISTINCT input_id, substr(t, s.i::INT + 1, size::INT) w FROM p JOIN z ON length(t) >= size, unnest(range(0, length(t) - size + 1)) s(i))
 SELECT DISTINCT gold_id, input_id FROM g JOIN i USING (w)""")
 def gold_windows(spark, sf):
-    """Gold questions of which a 15-character window stands in a prediction."""
+    """Gold questions of which a 15-character window (or, where shorter, the whole) stands in a prediction."""
     g = questions(spark, sf).filter("question_level = 'subquestion'").select(F.col("question_id").alias("gold_id"), F.col("question_text").alias("text"))
     i = predictions(spark, sf).select(F.concat_ws("|", "sample_id", "config").alias("input_id"), F.col("prediction").alias("text"))
     return dataset.gold_windows(g, i)
@@ -284,41 +303,160 @@ def unmapped_topics(spark, sf):
     return table(spark, sf, "question_records").select("topic_title").distinct().filter("topic_title is not null").join(m, "topic_title", "left_anti")
 
 
-def _evidence(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+SYSTEM = "你根据年度报告证据提出监管问询子问题。"
+WITH_EVIDENCE = "公司：{company}\n证券代码：{stock_code}\n报告年度：{report_year}\n风险主题：{risk_topic}\n年度报告证据：\n{evidence}\n请提出一个监管问询子问题。"
+WITHOUT_EVIDENCE = "公司：{company}\n证券代码：{stock_code}\n报告年度：{report_year}\n风险主题：{risk_topic}\n请提出一个监管问询子问题。"
+
+
+def _hits(spark: SparkSession, sf: str, k: int) -> tuple[DataFrame, DataFrame]:
     docs = _report_docs(spark, sf)
-    hits = materialize(retrieve.bm25(docs, _report_queries(spark, sf), ["report"], 3), "hits")
-    return hits, dataset.evidence_text(hits, docs)
+    return materialize(retrieve.bm25(docs, _report_queries(spark, sf), ["report"], k), "hits"), docs
 
 
-@query()
+def _candidates(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
+    hits, docs = _hits(spark, sf, k)
+    q = questions(spark, sf).filter("question_level = 'subquestion'").withColumnRenamed("question_id", "query_id")
+    return materialize(retrieve.candidate_rows(q, hits, docs), "candidates")
+
+
+_SCORED = "WITH " + O.CHUNKS + "," + O.CHUNK_PAGES + "," + _DOCS + "," + _QUERIES + ", hits AS (" + "WITH " + O.bm25("docs", "qs", "report", 10) + ")"
+_REPORT_OF = "concat_ws('/', coalesce(stock_code, ''), coalesce(report_year, ''))"
+_FOUND = f", place AS (SELECT concat_ws('#', {_REPORT_OF}, lpad(chunk_no::VARCHAR, 5, '0')) doc_id, page_start, page_end, text, {O.PAGE_RANGE} pages FROM chunks LEFT JOIN ranges USING (stock_code, report_year, chunk_no))"
+_SUB = f"(SELECT question_id, company, stock_code, report_year, question_text FROM {O.QUESTIONS} WHERE question_level = 'subquestion')"
+
+
+@query(_SCORED + f" SELECT q.question_id query_id, count(h.doc_id)::INT candidate_count, coalesce(max(h.score), 0) max_score FROM {_SUB} q LEFT JOIN hits h ON h.query_id = q.question_id GROUP BY 1")
+def candidate_counts(spark, sf):
+    """Every sub-question with the number of its candidates; those without a report keep a row."""
+    return _candidates(spark, sf).select("query_id", "candidate_count", "max_score")
+
+
+@query(_SCORED + f" SELECT q.question_id query_id FROM {_SUB} q LEFT JOIN hits h ON h.query_id = q.question_id GROUP BY 1 HAVING coalesce(max(h.score), 0) <= 0")
+def questions_without_evidence(spark, sf):
+    return retrieve.without_candidates(_candidates(spark, sf)).select("query_id")
+
+
+_EVIDENCE = _SCORED + _FOUND + ", ev AS (SELECT query_id, string_agg('【证据' || rank || '｜年报页 ' || coalesce(pages, '') || '｜chunk ' || doc_id || '】' || chr(10) || text, chr(10) ORDER BY rank) evidence, string_agg(doc_id, '|' ORDER BY rank) ids FROM hits JOIN place USING (doc_id) WHERE rank <= 3 GROUP BY 1)"
+
+
+@query(_EVIDENCE + " SELECT query_id, evidence FROM ev")
 def evidence_text(spark, sf):
-    return _evidence(spark, sf)[1]
+    c = _candidates(spark, sf, 3)
+    return dataset.exportable(c).select("query_id", dataset.evidence_block(F.col("candidates")).alias("evidence"))
 
 
-@query()
+_TOPIC_OF = "CASE topic_title WHEN '关于存货' THEN '资产减值与商誉' WHEN '关于商誉' THEN '资产减值与商誉' WHEN '关于应收账款' THEN '应收账款与信用风险' WHEN '关于货币资金' THEN '现金流与持续经营' WHEN '关于营业收入' THEN '收入确认与经营真实性' WHEN '关于财务费用' THEN '成本费用与盈利质量' ELSE '其他财务风险' END"
+
+
+def _with_topic(spark: SparkSession, q: DataFrame) -> DataFrame:
+    return dataset.default_map(q, "topic_title", spark.createDataFrame(_MAP, "topic_title string, risk_topic string"), "risk_topic", R.OTHER_TOPIC)
+
+
+@query(_EVIDENCE + f""", sm AS (SELECT question_id sample_id, coalesce(company, '') company, coalesce(stock_code, '') code, coalesce(report_year, '') y, question_text gold, {_TOPIC_OF} topic, evidence, ids FROM {O.QUESTIONS} q JOIN ev ON ev.query_id = q.question_id WHERE question_level = 'subquestion' AND {O.strip('question_text')} <> '')
+SELECT sample_id, 0 AS turn, 'system' AS role, '你根据年度报告证据提出监管问询子问题。' AS content, ids AS evidence_ids, topic AS risk_topic FROM sm
+UNION ALL SELECT sample_id, 1, 'user', '公司：' || company || chr(10) || '证券代码：' || code || chr(10) || '报告年度：' || y || chr(10) || '风险主题：' || topic || chr(10) || '年度报告证据：' || chr(10) || evidence || chr(10) || '请提出一个监管问询子问题。', ids, topic FROM sm
+UNION ALL SELECT sample_id, 2, 'assistant', gold, ids, topic FROM sm""")
 def chat_samples(spark, sf):
-    """One row per message: system, user with evidence, assistant with the gold question."""
-    e = _evidence(spark, sf)[1].withColumnRenamed("query_id", "question_id")
-    q = questions(spark, sf).join(e, "question_id", "left")
-    user = F.concat(F.lit("公司："), F.coalesce("company", F.lit("")), F.lit("\n证券代码："), F.coalesce("stock_code", F.lit("")), F.lit("\n"), F.coalesce("evidence", F.lit("")))
-    m = dataset.chat_messages(F.lit("请根据年度报告证据提出一个监管问询子问题。"), user, F.coalesce("question_text", F.lit("")))
-    return q.filter("question_level = 'subquestion'").select("question_id", F.posexplode(m).alias("turn", "m")).select("question_id", "turn", "m.role", "m.content")
+    """One row per message: system, user with evidence, assistant with the gold question; and of the metadata the evidence and the topic."""
+    s = dataset.chat_samples(_with_topic(spark, dataset.exportable(_candidates(spark, sf, 3))), SYSTEM, WITH_EVIDENCE)
+    m = s.select("sample_id", F.posexplode("messages").alias("turn", "m"), F.array_join("metadata.evidence_chunk_ids", "|").alias("evidence_ids"), F.col("metadata.risk_topic").alias("risk_topic"))
+    return m.select("sample_id", "turn", "m.role", "m.content", "evidence_ids", "risk_topic")
+
+
+def _keywords(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(R.TOPIC_KEYWORDS.items()), "risk_topic string, keywords string")
+
+
+_WORDS = ", ".join(f"({O.lit(a)}, {O.lit(a + ' ' + b)})" for a, b in R.TOPIC_KEYWORDS.items())
+_TOPIC_QUERIES = f"tq AS (SELECT DISTINCT {_REPORT_OF} report, {_REPORT_OF} || '/' || topic query_id, w.query text FROM (SELECT *, {_TOPIC_OF} topic FROM {O.QUESTIONS} WHERE question_level = 'subquestion') q JOIN (VALUES {_WORDS}) w(topic, query) USING (topic))"
+
+
+def _topic_queries(spark: SparkSession, q: DataFrame) -> DataFrame:
+    report = F.concat_ws("/", F.coalesce("stock_code", F.lit("")), F.coalesce("report_year", F.lit("")))
+    x = _with_topic(spark, q).join(_keywords(spark), "risk_topic").select(report.alias("report"), "risk_topic", T.topic_query("risk_topic", "keywords").alias("text"))
+    return x.select("report", F.concat_ws("/", "report", "risk_topic").alias("query_id"), "text").distinct()
+
+
+@query("WITH " + O.CHUNKS + "," + _DOCS + "," + _TOPIC_QUERIES + "," + O.bm25("docs", "tq", "report", 3))
+def topic_evidence(spark, sf):
+    """The three best chunks of its report for every risk topic that a company's questions have: the query holds no gold text."""
+    q = questions(spark, sf).filter("question_level = 'subquestion'")
+    return retrieve.bm25(_report_docs(spark, sf), _topic_queries(spark, q), ["report"], 3).withColumn("score", F.round("score", 6))
+
+
+def _variants(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Leakage-free samples of the split samples: by report, without evidence, and over all reports."""
+    s = table(spark, sf, "split_samples").dropDuplicates(["sample_id"]).select(F.col("sample_id").alias("query_id"), "split")
+    q = questions(spark, sf).withColumnRenamed("question_id", "query_id").join(s, "query_id")
+    docs = _report_docs(spark, sf)
+    report = F.concat_ws("/", F.coalesce("stock_code", F.lit("")), F.coalesce("report_year", F.lit("")))
+    q = materialize(_with_topic(spark, q).join(_keywords(spark), "risk_topic").withColumn("retrieval_query", T.topic_query("risk_topic", "keywords")).withColumn("topic_id", F.concat_ws("/", report, "risk_topic")), "topics")
+    own = retrieve.bm25(docs, q.select(report.alias("report"), F.col("topic_id").alias("query_id"), F.col("retrieval_query").alias("text")).distinct(), ["report"], 3)
+    everywhere = retrieve.bm25(docs, q.select(F.col("risk_topic").alias("query_id"), F.col("retrieval_query").alias("text")).distinct(), [], 3)
+    none = "array<struct<rank:int,doc_id:string,page_start:int,page_end:int,score:double,text:string>>"
+
+    def sample(rows: DataFrame, source: str) -> DataFrame:
+        return dataset.chat_samples(rows, SYSTEM, WITH_EVIDENCE, WITHOUT_EVIDENCE, 3, source, more={"retrieval_query": F.col("retrieval_query"), "split": F.col("split")})
+
+    def found(hits: DataFrame, key: str) -> DataFrame:
+        c = retrieve.candidate_rows(hits.select("query_id").distinct(), hits, docs).select(F.col("query_id").alias(key), "candidates")
+        return q.join(c, key, "left").withColumn("candidates", F.coalesce("candidates", F.array().cast(none)))
+
+    test = F.col("split") == "test"
+    return {
+        "constrained": sample(found(own, "topic_id"), "leakage_free_bm25_top3"),
+        "no_evidence": sample(q.filter(test).withColumn("candidates", F.array().cast(none)), "no_evidence"),
+        "global": sample(found(everywhere, "risk_topic").filter(test), "leakage_free_bm25_top3_global"),
+    }
 
 
 @query()
+def leakage_free_samples(spark, sf):
+    """Every variant's samples with the hash of their prompt, their evidence and where it comes from; constrained for all splits, the others for the test."""
+    out = None
+    for name, s in _variants(spark, sf).items():
+        x = s.select("sample_id", F.lit(name).alias("variant"), "metadata.split", "metadata.risk_topic", F.sha2(F.element_at("messages", 2)["content"], 256).alias("prompt"), F.array_join("metadata.evidence_chunk_ids", "|").alias("evidence_ids"), F.array_join("metadata.evidence_companies", "|").alias("evidence_companies"), "metadata.source")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query(_SCORED + _FOUND + f" SELECT query_id, doc_id, rank FROM hits JOIN place USING (doc_id) JOIN {O.QUESTIONS} q ON q.question_id = query_id WHERE page_start <= source_page_end AND source_page_start <= page_end")
 def page_range_hits(spark, sf):
     """Retrieved chunks whose pages meet the question's own pages."""
-    docs = _report_docs(spark, sf)
-    hits = retrieve.bm25(docs, _report_queries(spark, sf), ["report"], 10)
+    hits, docs = _hits(spark, sf, 10)
     q = questions(spark, sf).select(F.col("question_id").alias("query_id"), "source_page_start", "source_page_end")
     x = hits.join(docs.select("doc_id", "page_start", "page_end"), "doc_id").join(q, "query_id")
     return x.filter(retrieve.ranges_meet(F.col("page_start"), F.col("page_end"), F.col("source_page_start"), F.col("source_page_end"))).select("query_id", "doc_id", "rank")
 
 
-@query()
+_AT = " UNION ALL ".join(f"SELECT {k} k, coalesce(avg(CASE WHEN best <= {k} THEN 1 ELSE 0 END), 0)::DOUBLE recall FROM g" for k in (1, 3, 5, 10))
+
+
+@query(_SCORED + _FOUND + f", m AS (SELECT query_id, min(rank) best FROM hits JOIN place USING (doc_id) JOIN {O.QUESTIONS} q ON q.question_id = query_id WHERE page_start <= source_page_end AND source_page_start <= page_end GROUP BY 1), g AS (SELECT question_id, best FROM {O.QUESTIONS} q LEFT JOIN m ON m.query_id = q.question_id WHERE question_level = 'subquestion' AND source_page_start IS NOT NULL) SELECT k, round(recall, 9) recall FROM ({_AT})")
 def recall_at_k(spark, sf):
     gold = questions(spark, sf).filter("question_level = 'subquestion' and source_page_start is not null").select(F.col("question_id").alias("gold_id"))
-    return retrieve.recall_at(page_range_hits(spark, sf).select(F.col("query_id").alias("gold_id"), "rank"), gold)
+    return retrieve.recall_at(page_range_hits(spark, sf).select(F.col("query_id").alias("gold_id"), "rank"), gold).withColumn("recall", F.round("recall", 9))
+
+
+def _gold(spark: SparkSession, sf: str) -> DataFrame:
+    """Parents with pages as gold rows: their company and number name the questions that should find these pages."""
+    q = questions(spark, sf).filter("question_level = 'parent' and source_page_start is not null and source_page_end is not null and company is not null")
+    return q.select(F.col("question_id").alias("gold_id"), "company", T.question_number("question_text", "question_id", F.lit(0)).alias("question_number"), F.col("source_page_start").alias("gold_start"), F.col("source_page_end").alias("gold_end"))
+
+
+@query()
+def gold_recall(spark, sf):
+    """Share of gold rows that a question of their company and number finds among its best k chunks."""
+    hits, docs = _hits(spark, sf, 10)
+    q = questions(spark, sf).filter("question_level = 'subquestion'").select(F.col("question_id").alias("query_id"), "company", T.question_number(F.coalesce("parent_question_text", "question_text"), "question_id", F.lit(0)).alias("question_number"))
+    return retrieve.recall_at(retrieve.gold_hits(_gold(spark, sf), q, hits, docs), _gold(spark, sf))
+
+
+@query()
+def evidence_review(spark, sf):
+    """The five best candidates of every question with their pages, and whether they meet the gold pages of its company and number."""
+    c = _candidates(spark, sf).withColumn("question_number", T.question_number(F.coalesce("parent_question_text", "question_text"), "query_id", F.lit(0)))
+    return retrieve.review_rows(c, _gold(spark, sf), ["company", "question_number"])
 
 
 @query()
@@ -334,7 +472,7 @@ def rouge_l_groups(spark, sf):
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
-    x = predictions(spark, sf).select("config", "sample_id", "company", "report_year", T.answer_text(F.coalesce("prediction", F.lit(""))).alias("p"), T.answer_text(F.coalesce("reference", F.lit(""))).alias("r"))
+    x = predictions(spark, sf).select("config", "sample_id", "company", "stock_code", "report_year", T.answer_text(F.coalesce("prediction", F.lit(""))).alias("p"), T.answer_text(F.coalesce("reference", F.lit(""))).alias("r"))
     return x.withColumn("pred", evaluate.key_points(F.col("p"), F.col("company"))).withColumn("ref", evaluate.key_points(F.col("r"), F.col("company")))
 
 
@@ -353,26 +491,183 @@ def key_points(spark, sf):
     return x.select("config", "sample_id", F.substring_index("x", ":", 1).alias("dim"), F.expr("substring(x, instr(x, ':') + 1)").alias("point")).filter("dim != 'entity'")
 
 
-@query()
+@query(f"""
+WITH x AS (SELECT config, {O.points('p', 'company')} a, {O.points('r', 'company')} b FROM (SELECT config, company, {O.answer("coalesce(prediction, '')")} p, {O.answer("coalesce(reference, '')")} r FROM {O.PREDICTIONS})),
+  m AS (SELECT config, len(a) na, len(b) nb, {O.matched('a', 'b')} ma, {O.matched('b', 'a')} mb FROM x),
+  s AS (SELECT config, CASE WHEN na = 0 AND nb = 0 THEN 1.0 WHEN na = 0 THEN 0.0 ELSE ma::DOUBLE / na END p, CASE WHEN na = 0 AND nb = 0 THEN 1.0 WHEN nb = 0 THEN 0.0 ELSE mb::DOUBLE / nb END r FROM m)
+SELECT config, round(avg(p), 9) AS "precision", round(avg(r), 9) AS recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 9) AS f1 FROM s GROUP BY 1""")
 def key_point_scores(spark, sf):
     x = evaluate.prf(_points(spark, sf), "pred", "ref")
     return x.groupBy("config").agg(*[F.round(F.avg(c), 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions with what their company's annual reports say to them; the model's evidence is that of its question, where it has some."""
+    c = _candidates(spark, sf, 3)
+    e = dataset.exportable(c).select(F.col("query_id").alias("sample_id"), T.answer_text(F.array_join(F.transform("candidates", lambda x: x["text"]), "")).alias("evidence"))
+    chunks = _report_docs(spark, sf).withColumn("stock_code", F.substring_index("report", "/", 1))
+    x = _points(spark, sf).join(e, "sample_id", "left")
+    needed = chunks.join(x.select("stock_code").distinct(), "stock_code", "left_semi")
+    text = needed.groupBy("stock_code").agg(T.answer_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda s: s["text"]), "")).alias("corpus"))  # the reports of one company
+    return evaluate.fact_rows(x, text.withColumn("known", evaluate.lexicon(F.col("corpus"), F.lit(""))), ["stock_code"])
+
+
 @query()
 def evidence_support(spark, sf):
-    """Supported points over points of every configuration, by each sample's retrieved evidence."""
-    e = _evidence(spark, sf)[1].withColumn("e", T.answer_text("evidence")).select(F.col("query_id").alias("sample_id"), "e")
-    x = _points(spark, sf).join(e, "sample_id").select("config", F.explode("pred").alias("x"), "e").withColumn("ok", evaluate.supported(F.col("x"), F.col("e"))).filter("ok is not null")
-    return x.groupBy("config").agg(F.count("*").alias("points"), F.count_if("ok").alias("supported"), F.round(F.avg(F.col("ok").cast("int")), 9).alias("rate"))
+    """Supported points over points, and predictions with unfounded items, of every configuration."""
+    r = evaluate.fact_rates(_facts(spark, sf))
+    return r.withColumns({c: F.round(c, 9) for c in ("support_rate", "hallucination_rate")})
 
 
 @query()
 def unfounded_facts(spark, sf):
-    """Predictions with amounts or years that their evidence doesn't hold."""
-    e = _evidence(spark, sf)[1].withColumn("e", T.answer_text("evidence")).select(F.col("query_id").alias("sample_id"), "e")
-    x = _points(spark, sf).join(e, "sample_id").withColumn("bad", evaluate.unfounded(F.col("p"), F.col("e"), F.col("report_year")))
-    return x.filter("size(bad) > 0").select("config", "sample_id", F.array_join("bad", "|").alias("items"))
+    """Predictions with amounts, years or firms that their company's reports don't hold."""
+    return _facts(spark, sf).filter("size(unfounded) > 0").select("config", "sample_id", F.array_join("unfounded", "|").alias("items"))
+
+
+@query()
+def result_table(spark, sf):
+    """The mean best ROUGE-L of every configuration as a table of figures with four places; what is not measured here is to come."""
+    m = rouge_l_groups(spark, sf)
+    labels = {r["config"]: r["config"] for r in m.select("config").distinct().orderBy("config").limit(100).collect()}
+    return evaluate.result_table(m, labels, ["rouge_l"], ["bertscore_f1"])
+
+
+@query(f"SELECT * FROM (SELECT sample_id, 'extra' side FROM (SELECT DISTINCT sample_id FROM predictions EXCEPT SELECT sample_id FROM split_samples WHERE split = 'test') UNION ALL SELECT sample_id, 'missing' FROM (SELECT sample_id FROM split_samples WHERE split = 'test' EXCEPT SELECT sample_id FROM predictions) UNION ALL SELECT sample_id, 'repeated' FROM (SELECT sample_id FROM {O.PREDICTIONS} GROUP BY 1 HAVING count(*) > 1))")
+def test_id_differences(spark, sf):
+    """Ids that only predictions or only the test split have, and those predicted by several configurations."""
+    return evaluate.id_differences(predictions(spark, sf), table(spark, sf, "split_samples").filter("split = 'test'").select("sample_id"), "sample_id")
+
+
+@query(f"SELECT config, reference, count(DISTINCT prediction) predictions FROM {O.PREDICTIONS} WHERE reference IS NOT NULL GROUP BY ALL HAVING count(DISTINCT prediction) > 1")
+def group_conflicts(spark, sf):
+    """Gold texts for which a configuration gave different predictions."""
+    return evaluate.group_conflicts(predictions(spark, sf).filter("reference is not null"), "config", "reference", "prediction")
+
+
+# Cleaning of questions
+
+
+def _cleaned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return cleaning.clean_questions(table(spark, sf, "question_records"))
+
+
+_CLEANED = ("question_id", "question_level", "stock_code", "report_year", "topic_title", "source_file", "source_page_start", "source_page_end", "raw_question_text", "cleaned_question_text", "professional_opinion_request", "is_complete", "exclude_from_training", "is_training_target", "original_question_number", "subquestion_number", "extraction_method")
+
+
+@query()
+def formal_questions(spark, sf):
+    return _cleaned(spark, sf)[0].select(*_CLEANED)
+
+
+@query()
+def auxiliary_questions(spark, sf):
+    return _cleaned(spark, sf)[1].select(*_CLEANED)
+
+
+@query()
+def cleaning_checks(spark, sf):
+    return _cleaned(spark, sf)[2]
+
+
+@query()
+def training_targets(spark, sf):
+    return dataset.training_targets(_cleaned(spark, sf)[0]).select("question_id", "cleaned_question_text", "original_question_number", "subquestion_number")
+
+
+def _letters(spark: SparkSession, sf: str) -> DataFrame:
+    """Letters as pages: the parents of every source file in order, each page holding those that begin on it."""
+    q = questions(spark, sf).filter("question_level = 'parent' and source_file is not null")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("question_id", "question_text"))), lambda s: s["question_text"]), "\n")
+    g = q.groupBy("source_file", F.coalesce("source_page_start", F.lit(0)).alias("page_number")).agg(text.alias("text"), *[F.min(c).alias(c) for c in ("company", "stock_code", "report_year")], F.min("source_document_type").alias("document_type"))
+    return g.withColumn("document_id", F.col("source_file"))
+
+
+@query()
+def override_questions(spark, sf):
+    """Parents of the companies that sent inquiries, cut anew at the numbered lines of their letters."""
+    letters = _letters(spark, sf)
+    return cleaning.reparsed_parents(letters, letters.filter("document_type = 'inquiry'").select("stock_code"), "\\d{1,2}")
+
+
+def _extracted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    letters = _letters(spark, sf)
+    chosen = dataset.routed_sources(table(spark, sf, "filings").dropDuplicates(["document_id"])).select(F.col("relative_path").alias("document_id"), "company", "stock_code", "report_year", "document_type", "relative_path")
+    return cleaning.extracted_questions(letters, chosen)
+
+
+@query()
+def extracted_questions(spark, sf):
+    """Questions of the chosen documents, from their letters."""
+    return _extracted(spark, sf)[0]
+
+
+@query()
+def extraction_failures(spark, sf):
+    """Chosen documents without a question block."""
+    return _extracted(spark, sf)[1]
+
+
+_SPANS = f"sp AS (SELECT document_id, page_number page, length(coalesce(text, '')) n, sum(length(chr(10) || '[[PAGE:' || page_number || ']]' || chr(10)) + length(coalesce(text, '')) + 1) OVER w - length(coalesce(text, '')) - 1 AS from_ FROM {O.PAGES} WINDOW w AS (PARTITION BY document_id ORDER BY page_number ROWS UNBOUNDED PRECEDING))"
+
+
+@query("WITH " + _SPANS + " SELECT document_id, page, from_::BIGINT from_, (from_ + n)::BIGINT to_ FROM sp")
+def source_spans(spark, sf):
+    """Where each page's text stands in its document's text under page marks."""
+    return segment.source_texts(pages(spark, sf), ["document_id"])[1]
+
+
+@query("WITH " + _SPANS + """, d AS (SELECT document_id, max(from_ + n) total FROM sp GROUP BY 1), r AS (SELECT document_id, s.i start, s.i + 299 stop FROM d, unnest(range(0, (total + 1)::BIGINT, 500)) s(i)),
+  m AS (SELECT r.document_id, r.start, min(page) a, max(page) b FROM r JOIN sp ON sp.document_id = r.document_id AND from_ <= stop AND from_ + n >= r.start GROUP BY ALL), l AS (SELECT document_id, arg_max(page, from_) last FROM sp GROUP BY 1)
+SELECT r.document_id, r.start, coalesce(a, last) page_start, coalesce(b, last) page_end FROM r LEFT JOIN m USING (document_id, start) JOIN l USING (document_id)""")
+def span_pages(spark, sf):
+    """Pages of a stretch of 300 characters at every 500th of each document's text."""
+    spans = materialize(segment.source_texts(pages(spark, sf), ["document_id"])[1], "spans")
+    r = spans.groupBy("document_id").agg(F.max("to_").alias("total")).select("document_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("total"), F.lit(500).cast("bigint"))).alias("start")).withColumn("stop", F.col("start") + 299)
+    return retrieve.span_pages(r, spans, ["document_id"]).select("document_id", "start", "page_start", "page_end")
+
+
+@query(f"""
+WITH c AS (SELECT question_id, regexp_extract(question_id, '^(.*)_sub', 1) parent_id, row_number() OVER (PARTITION BY regexp_extract(question_id, '^(.*)_sub', 1) ORDER BY question_id)::INT ord, source_page_start s FROM {O.QUESTIONS} WHERE question_level = 'subquestion'),
+  p AS (SELECT question_id parent_id, source_page_start s FROM {O.QUESTIONS} WHERE question_level = 'parent')
+SELECT c.parent_id, c.ord, c.question_id, CASE WHEN c.s IS NOT NULL THEN c.s ELSE p.s END page FROM c JOIN p USING (parent_id)""")
+def paired_children(spark, sf):
+    """Sub-questions by parent and place, with their page, else that of the parent."""
+    q = questions(spark, sf)
+    c = cleaning.positional_children(q).select("parent_id", "ord", "question_id", F.col("source_page_start").alias("s"))
+    p = q.filter("question_level = 'parent'").select(F.col("question_id").alias("parent_id"), F.col("source_page_start").alias("t"))
+    return c.join(p, "parent_id").select("parent_id", "ord", "question_id", F.coalesce("s", "t").alias("page"))
+
+
+@query(f"SELECT f.document_id, f.document_type, count(p.page_number) pages, coalesce(sum(length(p.text)), 0)::BIGINT chars FROM (SELECT DISTINCT ON (document_id) * FROM filings) f LEFT JOIN {O.PAGES} p USING (document_id) GROUP BY ALL")
+def document_pages(spark, sf):
+    """Every filing with its pages; those without pages stay."""
+    p = pages(spark, sf).groupBy("document_id").agg(F.count("page_number").alias("pages"), F.sum(F.length("text")).alias("chars"))
+    f = table(spark, sf, "filings").dropDuplicates(["document_id"]).select("document_id", "document_type")
+    return f.join(p, "document_id", "left").na.fill(0, ["pages", "chars"])
+
+
+@query("SELECT company, string_agg(source_file, '|' ORDER BY source_file) files FROM (SELECT DISTINCT company, source_file FROM question_records WHERE source_file IS NOT NULL) GROUP BY 1")
+def files_by_company(spark, sf):
+    """The files that a company's questions come from, in order."""
+    q = table(spark, sf, "question_records").filter("source_file is not null").select("company", "source_file").distinct()
+    return q.groupBy("company").agg(F.array_join(F.array_sort(F.collect_set("source_file")), "|").alias("files"))
+
+
+@query("SELECT company FROM (SELECT company FROM page_records UNION SELECT company FROM question_records UNION SELECT company FROM filings) WHERE company IS NOT NULL")
+def companies(spark, sf):
+    """All companies that pages, questions or filings name."""
+    out = table(spark, sf, "page_records").select("company").distinct()
+    for name in ("question_records", "filings"):
+        out = out.union(table(spark, sf, name).select("company").distinct())
+    return out.distinct().filter("company is not null")
+
+
+@query("WITH " + O.CHUNKS + " SELECT stock_code, report_year, count(*) chunks, md5(string_agg(text, '' ORDER BY chunk_no)) digest FROM chunks GROUP BY ALL")
+def report_texts(spark, sf):
+    """The chunks of every report in order as one text, by its digest."""
+    c = retrieve.report_chunks(table(spark, sf, "page_records")).groupBy("stock_code", "report_year").agg(F.count("*").alias("chunks"), F.array_sort(F.collect_list(F.struct("chunk_no", "text"))).alias("c"))
+    return c.select("stock_code", "report_year", "chunks", F.md5(F.array_join(F.transform("c", lambda s: s["text"]), "")).alias("digest"))
 
 
 @query()
@@ -402,12 +697,28 @@ def merged_intervals(spark, sf):
     return segment.merged_intervals(e, ["user_id"], "a", "b")
 
 
-@query()
+def _labelled(spark: SparkSession, sf: str, longest: int) -> DataFrame:
+    """Predictions as token ids with masked prompts; the tokenizer is an adapter, here code points."""
+    points = lambda texts: [[ord(c) for c in t or ""] for t in texts]
+    p = io.score_batches(io.score_batches(predictions(spark, sf), points, "reference", "array<int>", "a"), points, "prediction", "array<int>", "b")
+    ids, labels = dataset.masked_labels(F.col("a"), F.col("b"), longest)
+    return p.select(F.concat_ws("|", "sample_id", "config").alias("sample_id"), ids.alias("ids"), labels.alias("labels"))
+
+
+_LENGTHS = f"(SELECT sample_id || '|' || config sample_id, coalesce(length(reference), 0) a, coalesce(length(prediction), 0) b FROM {O.PREDICTIONS})"
+
+
+@query(f"SELECT sample_id, least(a + b, 128)::INT AS tokens, greatest(0, a - greatest(0, a + b - 128))::INT AS masked FROM {_LENGTHS}")
 def masked_labels(spark, sf):
-    """Label masking and padding over code points as token ids: what a trainer reads."""
-    ids = lambda c: F.transform(F.split(F.coalesce(c, F.lit("")), ""), lambda s: F.ascii(s))
-    p = predictions(spark, sf).select("config", "sample_id", *[x.alias(n) for n, x in zip(("ids", "labels"), dataset.masked_labels(ids(F.col("reference")), ids(F.col("prediction")), 256), strict=True)])
-    return p.select("config", "sample_id", F.size("ids").alias("tokens"), F.size(F.filter("labels", lambda x: x == -100)).alias("masked"), F.size(dataset.padded(F.col("ids"), F.lit(256), 0)).alias("width"))
+    """Tokens kept and prompt labels masked of every prediction, cut on the left at 128 tokens."""
+    return _labelled(spark, sf, 128).select("sample_id", F.size("ids").alias("tokens"), F.size(F.filter("labels", lambda x: x == -100)).alias("masked"))
+
+
+@query(f"WITH x AS (SELECT sample_id, least(a + b, 128) n, (row_number() OVER (ORDER BY sample_id) - 1) // 16 batch FROM {_LENGTHS}) SELECT sample_id, batch::BIGINT batch, max(n) OVER (PARTITION BY batch)::INT width, n::INT used FROM x")
+def padded_batches(spark, sf):
+    """Batches of 16 samples, padded to the longest of each."""
+    b = dataset.collated(_labelled(spark, sf, 128), 16)
+    return b.select("sample_id", "batch", F.size("ids").alias("width"), F.aggregate("mask", F.lit(0), lambda s, x: s + x).alias("used"))
 
 
 @query("SELECT question_level, source_document_type, count(*) n, count(*) FILTER (needs_review) review, count(DISTINCT source_file) files FROM question_records GROUP BY ALL")
@@ -427,8 +738,3 @@ def child_ordinals(spark, sf):
 
     parent = F.regexp_replace("question_id", "_sub.*$", "")
     return questions(spark, sf).filter(F.col("question_id").contains("_sub")).select("question_id", parent.alias("parent_id")).withColumn("ord", F.row_number().over(W.partitionBy("parent_id").orderBy("question_id")))
-
-
-@query("SELECT * FROM (SELECT DISTINCT sample_id FROM predictions EXCEPT SELECT sample_id FROM split_samples WHERE split = 'test')")
-def predictions_outside_test(spark, sf):
-    return table(spark, sf, "predictions").select("sample_id").distinct().exceptAll(table(spark, sf, "split_samples").filter("split = 'test'").select("sample_id").distinct())

@@ -35,9 +35,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of its own where that is unset (tests, local mode)."""
+    """The folder that all executors share: spark.checkpoint.dir. In local mode, where that is unset, a folder of this machine; elsewhere that raises."""
     where = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='filingloom-shared-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from filingloom.functions import text as T
-from filingloom.operators import dataset, evaluate, quality
+from filingloom.operators import dataset, evaluate, quality, retrieve
 from filingloom.session import materialize, widen
 from filingloom.sources import io
 from filingloom.streaming import pages as streaming
@@ -41,7 +41,7 @@ def test_sources_are_routed(spark):
     rows = [("1", "inquiry", "", "a", False, "success"), ("1", "reply", "", "b", False, "success"), ("2", "supporting", "y", "c", False, "success"), ("2", "supporting", "x", "d", False, "success"), ("3", "reply", "", "e", True, "success"), ("4", "reply", "", "f", False, "failed")]
     f = spark.createDataFrame(rows, "stock_code string, document_type string, supporting_subtype string, relative_path string, is_missing boolean, parse_status string")
     got = dataset.routed_sources(f, {"inquiry": 0, "reply": 1, "supporting": 2})
-    assert sorted(r["relative_path"] for r in got.collect()) == ["a", "d"]
+    assert sorted(r["relative_path"] for r in got.collect()) == ["a", "c"]  # subtypes outside of the map are equal; the path decides
 
 
 @pytest.mark.parametrize("n", [0, 1, 14, 15, 16, 20, 21, 40])
@@ -50,7 +50,7 @@ def test_gold_windows_against_brute_force(spark, n):
     gold = "".join(rnd.choice("甲乙丙丁戊") for _ in range(n))
     inputs = {"i1": "前" + gold[3:] + "后" * 20, "i2": "x" * 30, "i3": gold, "i4": None}
     starts = range(0, max(1, len(gold) - 15), 5)
-    want = {i for i, t in inputs.items() if t and gold and len(t) >= 15 and any(gold[s : s + 15] in t for s in starts) and len(gold) >= 15}
+    want = {i for i, t in inputs.items() if t and gold and any(gold[s : s + 15] in t for s in starts)}
     g = spark.createDataFrame([("g", gold)], "gold_id string, text string")
     got = {r["input_id"] for r in dataset.gold_windows(g, spark.createDataFrame(list(inputs.items()), "input_id string, text string")).collect()}
     assert got == want
@@ -59,7 +59,7 @@ def test_gold_windows_against_brute_force(spark, n):
 def test_splits_labels_and_padding(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "stock_code string, n int")
     given = spark.createDataFrame([("a", "train"), ("b", "test")], "stock_code string, split string")
-    placed, missing = dataset.entity_splits(rows, given)
+    placed, missing = dataset.entity_splits(rows, given, strict=False), dataset.unassigned(rows, given)
     assert placed.count() == 2 and [r[0] for r in missing.collect()] == ["c"]
     assert dataset.split_overlaps(placed.union(spark.createDataFrame([("a", 1, "test")], placed.schema)), "stock_code").count() == 1
     x = spark.createDataFrame([([1, 2, 3], [4, 5])], "p array<int>, a array<int>")
@@ -71,7 +71,9 @@ def test_splits_labels_and_padding(spark):
 def test_evidence_and_messages(spark):
     hits = spark.createDataFrame([("q", 2, "d2"), ("q", 1, "d1"), ("q", 9, "d3")], "query_id string, rank int, doc_id string")
     docs = spark.createDataFrame([("d1", 1, 1, "甲"), ("d2", 2, 3, "乙"), ("d3", 1, 1, "丙")], "doc_id string, page_start int, page_end int, text string")
-    assert dataset.evidence_text(hits, docs).first()["evidence"] == "【证据1】p1 d1\n甲\n【证据2】p2-3 d2\n乙"
+    q = spark.createDataFrame([("q",)], "query_id string")
+    rows = retrieve.candidate_rows(q, hits.withColumn("score", F.lit(1.0)), docs).select(dataset.evidence_block(F.col("candidates"), 2))
+    assert rows.first()[0] == "【证据1｜年报页 p1｜chunk d1】\n甲\n【证据2｜年报页 p2-3｜chunk d2】\n乙"
     m = spark.range(1).select(dataset.chat_messages(F.lit("s"), F.lit("u"), F.lit("a")).alias("m")).first()["m"]
     assert [(x["role"], x["content"]) for x in m] == [("system", "s"), ("user", "u"), ("assistant", "a")]
 
@@ -104,7 +106,7 @@ def test_rouge_and_points(spark):
     e = spark.createDataFrame([("action:说明", "x", True), ("fin_item:存货", "存货大增", True), ("risk_or_disclosure:是否减值", "没有", True)], "p string, e string, z boolean")
     assert [r[0] for r in e.select(evaluate.supported(F.col("p"), F.col("e"))).collect()] == [None, True, False]
     u = spark.createDataFrame([("2023年10万元和2024年", "10万元", 2024)], "t string, c string, y int")
-    assert u.select(evaluate.unfounded(F.col("t"), F.col("c"), F.col("y"))).first()[0] == ["2023"]
+    assert u.select(evaluate.unfounded(F.col("t"), F.col("c"), F.col("y"), F.lit("甲"), F.array().cast("array<string>"))).first()[0] == ["year:2023"]
 
 
 def test_manifest_paths(spark):
@@ -126,7 +128,7 @@ def test_round_trips(spark, tmp_path):
     (tmp_path / "raw/b.txt").write_bytes(b"\xff\xfe\xff")
     files = io.scan(spark, f"{tmp_path}/raw", content=True)
     ok, bad = io.extract_pages(files, lambda b: b.decode("utf-8").split("\f"))
-    assert sorted((r["page_number"], r["text"]) for r in ok.collect()) == [(1, "一"), (2, "二")] and bad.count() == 1
+    assert sorted((r["page_number"], r["text"]) for r in ok.collect()) == [(1, "一"), (2, "二")] and bad.filter("failure_type != 'needs_ocr'").count() == 1
     assert [r["score"] for r in io.score_batches(df, lambda xs: [len(x or "") for x in xs], "a", "int").orderBy("b").collect()] == [1, 0]
     assert materialize(df).count() == 2 and isinstance(widen(df, "z int"), StructType)
 
