@@ -24,6 +24,8 @@ CYRILLIC = "АВЕЅІЈКМНОРСТХҮԌԚԜаеѕіјорсхуһԁԛԝӏ"
 CYRILLIC_LATIN = "ABESIJKMHOPCTXYGQWaesijopcxyhdqwl"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳοϲ"
 GREEK_LATIN = "ABEZHIKMNOPTYXCjoc"
+ARMENIAN, ARMENIAN_LATIN = "ՍՕօսհոցզ", "UOouhngq"
+CHEROKEE, CHEROKEE_LATIN = "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᏔᏃ", "ABCDEGHJKLMPSTVWZ"
 # Dashes and dots of one look.
 DASHES, DOTS = "‐‑‒–−﹣", "・•∙⋅･"
 # CJK radicals that have no compatibility mapping, and the ideographs they stand for.
@@ -39,24 +41,45 @@ SEPARATOR = "\x1e"
 def fold_pairs() -> tuple[str, str]:
     """Two strings of equal length: characters, and the one character each is mapped to.
 
-    Compatibility forms come from a rule (every BMP character whose NFKC form is one other character); look-alikes from the lists above.
+    Compatibility forms come from a rule (every character whose NFKC form is one other character); look-alikes from the lists above.
     """
     pairs: dict[str, str] = {}
-    for code in [*range(0xA0, 0xAC00), *range(0xF900, 0xFFF0)]:
+    for code in [*range(0xA0, 0xAC00), *range(0xF900, 0xFFF0), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200), *range(0x2F800, 0x2FA20)]:
         c = chr(code)
         n = unicodedata.normalize("NFKC", c)
         if n != c and len(n) == 1:
             pairs[c] = n
-    for a, b in ((CYRILLIC, CYRILLIC_LATIN), (GREEK, GREEK_LATIN), (RADICALS, RADICAL_IDEOGRAPHS), (DASHES, "-" * len(DASHES)), (DOTS, "·" * len(DOTS))):
+    for a, b in ((CYRILLIC, CYRILLIC_LATIN), (GREEK, GREEK_LATIN), (ARMENIAN, ARMENIAN_LATIN), (CHEROKEE, CHEROKEE_LATIN), (RADICALS, RADICAL_IDEOGRAPHS), (DASHES, "-" * len(DASHES)), (DOTS, "·" * len(DOTS))):
         pairs.update(zip(a, b, strict=True))
     pairs = {a: pairs.get(b, b) for a, b in pairs.items()}
     return "".join(pairs), "".join(pairs.values())
 
 
+@lru_cache(maxsize=1)
+def wide_forms() -> dict[str, str]:
+    """Characters that look like several (ligatures, units, words in one square), and these, in their one form.
+
+    By a rule: BMP characters whose NFKC form has two or more characters, none of them a blank or a mark. The ellipsis is no case: it looks unlike three points.
+    """
+    a, b = fold_pairs()
+    one = str.maketrans(a, b)
+    out = {}
+    for code in [*range(0xA0, 0xAC00), *range(0xFB00, 0xFFF0)]:
+        n = unicodedata.normalize("NFKC", chr(code))
+        if len(n) > 1 and not set(n) & set(". ") and not any(unicodedata.category(x)[0] in "MZC" for x in n) and unicodedata.normalize("NFC", n) == n:
+            out[chr(code)] = n.translate(one)
+    return out
+
+
 @lru_cache(maxsize=1)
 def _translation() -> dict[int, str]:
     a, b = fold_pairs()
-    return str.maketrans(a, b)
+    return str.maketrans(a, b) | {ord(k): v for k, v in wide_forms().items()}
+
+
+@lru_cache(maxsize=1)
+def wide_pattern() -> re.Pattern:
+    return re.compile("[" + "".join(wide_forms()) + "]")
 
 
 def is_blank(c: str) -> bool:
@@ -91,7 +114,8 @@ def _sql() -> str:
     return rf"""
       WITH whole AS (SELECT translate(string_agg(coalesce(t, ''), '{SEPARATOR}' ORDER BY i), $a, $b) s FROM b),
            rows AS (SELECT unnest(string_split(s, '{SEPARATOR}')) t FROM whole),
-           bare AS (SELECT regexp_replace(t, '{drop}', '', 'g') t FROM rows)
+           narrow AS (SELECT CASE WHEN regexp_matches(t, $any) THEN array_to_string(list_transform(string_split(t, ''), lambda c: coalesce($many[list_position($wide, c)], c)), '') ELSE t END t FROM rows),
+           bare AS (SELECT regexp_replace(t, '{drop}', '', 'g') t FROM narrow)
       SELECT CASE WHEN regexp_matches(t, '\p{{M}}') THEN nfc_normalize(t) ELSE t END form FROM bare
     """
 
@@ -114,7 +138,7 @@ def canon_texts(texts: list[str | None]) -> list[str]:
             nonlocal part, held
             if part:
                 con.register("b", pa.table({"i": pa.array(range(len(part)), pa.int64()), "t": pa.array(part, pa.string())}))
-                out.extend(x[0] for x in con.execute(_sql(), {"a": a, "b": b}).fetchall())
+                out.extend(x[0] for x in con.execute(_sql(), {"a": a, "b": b, "any": wide_pattern().pattern, "wide": list(wide_forms()), "many": list(wide_forms().values())}).fetchall())
                 con.unregister("b")
             part, held = [], 0
 
@@ -180,3 +204,11 @@ def same_look_pairs(keys: DataFrame, kind: str = "record_kind", key: str = "key"
     a = many.select("record_kind", "form_md5", F.col("raw_md5").alias("raw_a"), F.col("key").alias("key_a"))
     b = many.select("record_kind", "form_md5", F.col("raw_md5").alias("raw_b"), F.col("key").alias("key_b"))
     return a.join(b, ["record_kind", "form_md5"]).filter("raw_a != raw_b and key_a < key_b").select("record_kind", "key_a", "key_b").distinct()
+
+
+def look_classes(keys: DataFrame, kind: str = "record_kind", key: str = "key") -> DataFrame:
+    """(kind, key, class_id, records, spellings) of the records whose form has more than one spelling: one row per record, whatever its class holds."""
+    rows = keys.select(F.col(kind).alias("record_kind"), F.col(key).alias("key"), "form_md5", "raw_md5").distinct()
+    spelled = rows.groupBy("record_kind", "form_md5", "raw_md5").agg(F.count("*").alias("n"))
+    size = spelled.groupBy("record_kind", "form_md5").agg(F.sum("n").alias("records"), F.count("*").alias("spellings")).filter("spellings > 1")
+    return rows.join(size, ["record_kind", "form_md5"]).select("record_kind", "key", F.hex("form_md5").alias("class_id"), "records", "spellings")

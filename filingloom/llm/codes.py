@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .canon import _translation, fold_table
+from .canon import _translation, fold_table, wide_forms, wide_pattern
 
 _MARKS = re.compile("[\u0300-\u036f\u3099\u309a]")
 
@@ -30,8 +30,14 @@ def encode(texts: list[str | None], keep_newlines: bool = False) -> Codes:
     return encode_map(texts, keep_newlines)[0]
 
 
-def encode_map(texts: list[str | None], keep_newlines: bool = False) -> tuple[Codes, list[str], np.ndarray]:
-    """As ``encode``; also the composed texts, and for each kept character its place in all of them laid end to end."""
+def encode_map(texts: list[str | None], keep_newlines: bool = False, widen: bool = True) -> tuple[Codes, list[str], np.ndarray]:
+    """As ``encode``; also the composed texts, and for each kept character its place in all of them laid end to end.
+
+    Without ``widen``, characters that look like several stay as they are.
+    """
+    if widen:
+        wide, many = wide_pattern(), {ord(k): v for k, v in wide_forms().items()}
+        texts = [t.translate(many) if t and wide.search(t) else t for t in texts]
     ready = [unicodedata.normalize("NFC", t.translate(_translation())) if t and _MARKS.search(t) else (t or "") for t in texts]
     sizes = np.fromiter((len(t) for t in ready), np.int64, len(ready))
     raw = np.frombuffer("".join(ready).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)

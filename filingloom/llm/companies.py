@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,6 +22,10 @@ LEGAL = re.compile(r"(?:\((?:集团|控股)\)|集团|控股)?(?:股份有限公
 MARKET = re.compile(r"^(?:SH|SZ|BJ|HK)?[.:]?(\d{1,6})(?:[.:]?(?:SH|SZ|BJ|SS|XSHG|XSHE|BSE))?$")
 
 
+#: More splits than this are an error.
+MOST_SPLITS = 1_000
+
+
 def clean_name(value: str | None) -> str | None:
     """The bare name in its one form, without treatment mark and legal form; None where the value names no company."""
     name = look(value).upper()
@@ -37,18 +41,20 @@ def clean_code(value: str | None) -> str | None:
     return m[1].zfill(6) if m and m[1].strip("0") else None
 
 
-def _names(s: pd.Series) -> pd.Series:
-    return pd.Series([clean_name(x) for x in s], dtype=object)
+def _batch(clean: Callable[[str | None], str | None]) -> Callable[[pd.Series], pd.Series]:
+    """``clean`` over a batch, once for every different value."""
 
+    def run(s: pd.Series) -> pd.Series:
+        known = {x: clean(x) for x in s.unique()}
+        return pd.Series([known[x] for x in s], dtype=object)
 
-def _codes(s: pd.Series) -> pd.Series:
-    return pd.Series([clean_code(x) for x in s], dtype=object)
+    return run
 
 
 def identities(records: DataFrame, key: str = "question_id", code: str = "stock_code", company: str = "company") -> DataFrame:
     """(record, code, name): each record once, with its cleaned code and name."""
     r = records.select(F.col(key).cast("string").alias("record"), F.col(code).cast("string").alias("c"), F.col(company).cast("string").alias("n")).filter("record is not null").dropDuplicates(["record"])
-    return r.withColumn("code", F.pandas_udf(_codes, "string")("c")).withColumn("name", F.pandas_udf(_names, "string")("n")).select("record", "code", "name")
+    return r.withColumn("code", F.pandas_udf(_batch(clean_code), "string")("c")).withColumn("name", F.pandas_udf(_batch(clean_name), "string")("n")).select("record", "code", "name")
 
 
 class Forest:
@@ -198,7 +204,10 @@ def company_splits(records: DataFrame, targets: DataFrame, key: str = "question_
     ids = materialize(identities(records, key, code, company), "ids")
     named, links = company_of(ids)
     named = materialize(named, "companies")
-    shares = [(r["split"], float(r["proportion"])) for r in targets.select("split", "proportion").filter("split is not null and proportion > 0").distinct().limit(1000).collect()]
+    given = targets.select("split", "proportion").filter("split is not null and proportion > 0").distinct().limit(MOST_SPLITS + 1).collect()
+    if len(given) > MOST_SPLITS:
+        raise ValueError(f"more than {MOST_SPLITS} splits")
+    shares = [(r["split"], float(r["proportion"])) for r in given]
     whole = sum(p for _, p in shares)
     groups = named.groupBy("company_id").agg(F.count("*").alias("rows"))
     given = assign(groups, [(s, p / whole) for s, p in shares], named.count())

@@ -73,12 +73,12 @@ def passage_matches(corpus: DataFrame, items: DataFrame, key: str = "doc_id", it
     The index holds the corpus postings of terms that occur in an item. A run of ``run`` characters has run - k + 1 consecutive terms;
     for each such window of an item its rarest term (by corpus frequency, then hash) is the anchor. Postings of anchors, adjusted by the
     term's offset in the item, name the alignments (document, item, document place - item place); the lists of the other terms are
-    intersected only on those alignments. Consecutive places of an alignment are one exact phrase.
+    looked up by document, term and place for those alignments only. Consecutive places of an alignment are one exact phrase.
     Texts without the look of word characters, null texts and null keys match nothing; repeated rows count once.
     """
     own = materialize(postings(items.dropDuplicates([item]), item, text, None, k).select("term", F.col("key").alias("item_id"), F.col("pos").alias("item_pos")), "item-terms")
     if own.count() <= MAX_SENT_TERMS:
-        only = np.unique(np.array([r[0] for r in own.select("term").distinct().collect()], dtype=np.int64))
+        only = np.unique(own.select("term").distinct().toArrow()["term"].to_numpy())
         index = postings(corpus, key, text, only, k)
     else:
         index = postings(corpus, key, text, None, k).join(own.select("term").distinct(), "term", "left_semi")
@@ -89,8 +89,8 @@ def passage_matches(corpus: DataFrame, items: DataFrame, key: str = "doc_id", it
     windows = W.partitionBy("item_id").orderBy("item_pos").rowsBetween(0, span)
     anchors = ranked.withColumn("best", F.min("rank").over(windows)).withColumn("full", F.count("*").over(windows)).filter(F.col("full") == span + 1).select("item_id", "best.term", "best.item_pos").distinct()
     aligned = anchors.join(index, "term").select("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("shift")).distinct()
-    both = index.join(own, "term").withColumn("shift", F.col("doc_pos") - F.col("item_pos"))
-    cells = both.join(aligned, ["doc_id", "item_id", "shift"], "left_semi").select("doc_id", "item_id", "shift", "item_pos").distinct()
+    due = aligned.join(own, "item_id").withColumn("doc_pos", F.col("item_pos") + F.col("shift")).filter("doc_pos >= 0")  # an item's own terms at the places where its alignments want them
+    cells = due.join(index, ["doc_id", "term", "doc_pos"], "left_semi").select("doc_id", "item_id", "shift", "item_pos").distinct()
     lane = W.partitionBy("doc_id", "item_id", "shift").orderBy("item_pos")
     islands = cells.withColumn("island", F.col("item_pos") - F.row_number().over(lane)).groupBy("doc_id", "item_id", "shift", "island").agg(F.min("item_pos").alias("item_pos"), (F.count("*") + k - 1).alias("chars"))
     return islands.filter(F.col("chars") >= run).select("doc_id", "item_id", "item_pos", (F.col("item_pos") + F.col("shift")).alias("doc_pos"), "chars")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,20 +31,37 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Places where a pre-token is sure to end: between two kinds of characters, unless the first is a blank or an apostrophe, which may belong to what follows.
+_BORDER = regex.compile(r"(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\s\p{L}\p{N}])")
+
+
+def pieces(t: str, size: int) -> list[str]:
+    """The text cut into pieces of about ``size`` characters whose tokens together are those of the whole; a run without a sure border stays whole."""
+    out, at = [], 0
+    while len(t) - at > size:
+        m = _BORDER.search(t, at + size)
+        if not m:
+            break
+        out.append(t[at : m.start()])
+        at = m.start()
+    return [*out, t[at:]]
+
+
 def token_counts(df: DataFrame, text: str, keep: list, path: str = TOKENIZER, piece: int = 20_000) -> DataFrame:
-    """keep and ``tokens``, the number of tokens of the text; 0 for null and empty texts.
+    """keep and ``tokens``, the exact number of tokens of the text; 0 for null and empty texts.
 
-    ``path``: a tiktoken rank file that every executor can read. A text is counted in pieces of ``piece`` characters, which
-    bounds the tokenizer's work on texts of any length; each border may add a token.
+    ``path``: a tiktoken rank file that the driver can read; it is sent to the executors. Long texts are encoded in pieces (``pieces``).
     """
     src = df.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = widen(src, "tokens bigint", ("__text",))
+    df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoding(path)
+        enc = _encoding(SparkFiles.get(name))
         for b in batches:
             texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
-            n = [sum(len(enc.encode_ordinary(t[i : i + piece])) for i in range(0, len(t), piece)) for t in texts]
+            n = [sum(len(enc.encode_ordinary(x)) for x in pieces(t, piece)) for t in texts]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=schema.names)
 
     return src.mapInArrow(run, schema)
@@ -81,10 +101,11 @@ def pack(items: DataFrame, windows: DataFrame, key: str = "doc_id", size: str =
     Items are spread over groups of about ``group_items`` by a seeded hash of their key, so groups are random, bounded and packed
     independently: sorted by falling size, then first fit by a tournament tree. An item longer than the capacity is cut into full
     containers, and its rest is packed like an item; no other item is cut. Bins are numbered within their group.
-    Items without key or size or of size 0 take no space and are left out; repeated rows count once; capacities below 1 are left out.
+    Items of size 0 or without size take no space and lie in their group's first container; items without key are left out; repeated rows
+    count once; capacities below 1 are left out.
     """
     w = windows.select(F.col("window_id").cast("int").alias("window_id"), F.col("capacity_tokens").cast("bigint").alias("capacity")).filter("capacity >= 1").dropDuplicates(["window_id"])
-    once = items.select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("tokens")).filter("key is not null and tokens > 0").dropDuplicates(["key"])
+    once = items.select(F.col(key).alias("key"), F.greatest(F.lit(0), F.coalesce(F.col(size).cast("bigint"), F.lit(0))).alias("tokens")).filter("key is not null").dropDuplicates(["key"])
     groups = max(1, -(-once.count() // group_items))
     placed = once.withColumn("group", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(groups)).cast("int"))
     each = placed.crossJoin(F.broadcast(w))  # windows: a few rows, one per capacity
@@ -95,7 +116,8 @@ def pack(items: DataFrame, windows: DataFrame, key: str = "doc_id", size: str =
         pdf = pdf.sort_values(["tokens", "key"], ascending=[False, True], kind="stable")
         sizes = pdf["tokens"].to_numpy()
         full, rest = sizes // capacity, sizes % capacity
-        full, rest = np.where(rest == 0, full - 1, full), np.where(rest == 0, capacity, rest)
+        whole = (rest == 0) & (sizes > 0)
+        full, rest = np.where(whole, full - 1, full), np.where(whole, capacity, rest)
         order = np.argsort(-rest, kind="stable")
         bins = np.empty(len(rest), np.int64)
         bins[order] = first_fit(rest[order], capacity)

@@ -41,6 +41,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.same_look_pairs(materialize(qk.unionByName(pk).drop("visible"), "forms"))
 
 
+@query
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record whose look has more than one spelling, with its class and how many records and spellings that has."""
+    q = table(spark, sf_dir, "question_records").filter("question_text is not null and question_id is not null")
+    p = table(spark, sf_dir, "page_records").filter("text is not null and document_id is not null and page_number is not null")
+    qk = canon.form_keys(q, "question_text", [F.lit("question").alias("record_kind"), F.col("question_id").alias("key")])
+    pk = canon.form_keys(p, "text", [F.lit("page").alias("record_kind"), _page_key().alias("key")])
+    return canon.look_classes(materialize(qk.unionByName(pk).filter("visible > 0"), "forms"))
+
+
 @query
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question text and page text in its one form."""
@@ -57,6 +67,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_lines(table(spark, sf_dir, "page_records"))[0]
 
 
+@query
+def p6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much more frequent lines are inside their source than outside: pages, log-likelihood ratio, and whether that is significant; lines on two pages or more."""
+    rows = lines.repeated_lines(table(spark, sf_dir, "page_records"))[1]
+    return lines.line_scores(rows, 2)
+
+
 @query
 def p6_clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page once, without its repeated lines."""
@@ -73,6 +90,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return companies.linked_codes(companies.company_of(ids)[1])
 
 
+@query
+def p1_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every code and name with its company and the number of its questions."""
+    ids = materialize(companies.identities(table(spark, sf_dir, "question_records")), "ids")
+    return companies.company_of(ids)[0].groupBy("company_id", "code", "name").agg(F.count("*").alias("questions"))
+
+
 @query
 def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question with its company and split."""
@@ -98,6 +122,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.least("key_train", "key_eval").alias("question_id_a"), F.greatest("key_train", "key_eval").alias("question_id_b")).distinct()
 
 
+@query
+def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sample that occurs on the other side of the split, with the number of samples there that agree with it."""
+    x = _overlaps(spark, sf_dir).select("key_train", "key_eval").distinct()
+    both = x.select(F.col("key_train").alias("sample_id"), F.lit("train").alias("side")).unionByName(x.select(F.col("key_eval").alias("sample_id"), F.lit("evaluation").alias("side")))
+    return both.groupBy("sample_id", "side").agg(F.count("*").alias("links"))
+
+
 @query
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping evaluation samples per split and source_file."""

@@ -50,7 +50,7 @@ class Pages:
     as 0, by text, and their places in ``flat``."""
 
     def __init__(self, texts: list[str | None]) -> None:
-        codes, self.ready, place = encode_map(texts)
+        codes, self.ready, place = encode_map(texts, widen=False)
         self.c = codes.chars.copy()
         self.c[(self.c >= 48) & (self.c < 58)] = 48
         self.start = codes.start

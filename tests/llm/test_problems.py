@@ -30,6 +30,9 @@ def test_canon_is_idempotent_and_folds():
     for a, b in (("ＡＢＣ", "ABC"), ("АВС", "ABC"), ("é", "é"), ("⻓风", "长风"), ("a b", "ab"), ("е́", "é")):
         assert canon.look(a) == canon.look(b)
     assert canon.look("é") != canon.look("e")
+    for a, b in (("ﬁnance 12㎡", "finance12m2"), ("㈱", "(株)"), ("𝐀", "A"), ("Ꭺ", "A"), ("㎏ﬃ", "kgffi")):
+        assert canon.look(a) == canon.look(b) == canon.canon_texts([a])[0] == "".join(map(chr, codes.encode([a]).chars))
+    assert canon.look("…") != canon.look("...")
     for t in ODD:
         assert canon.look(canon.look(t)) == canon.look(t)
 
@@ -59,6 +62,9 @@ def test_same_look_pairs(spark):
     got = {tuple(r) for r in canon.same_look_pairs(keys).collect()}
     assert got == brute_same_look([r for r in rows if r[2]])
     assert canon.same_look_pairs(keys.limit(0)).count() == 0
+    classes = {(r["record_kind"], r["key"]): (r["class_id"], r["records"], r["spellings"]) for r in canon.look_classes(keys).collect()}
+    assert {k for k, _ in classes.items()} == {("question", "q1"), ("question", "q2"), ("question", "q3"), ("page", "q4"), ("page", "q5")}
+    assert classes["question", "q1"][1:] == (3, 2) and classes["question", "q1"][0] == classes["question", "q3"][0]
     assert canon.one_form(df, "__text", [F.col("kind")]).count() == 9
 
 
@@ -188,6 +194,22 @@ def test_repeated_lines_of_a_large_source(spark):
         assert [r["pages"] for r in lines.line_scores(pages).collect()] == [6]
 
 
+def test_discoveries_against_the_plain_step_up_rule(spark):
+    import math
+
+    rnd = random.Random(26)
+    llr = [0.0] * 200 + [rnd.uniform(0, 12) for _ in range(200)] + [rnd.uniform(15, 400) for _ in range(40)]
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(llr)], "i int, llr double")
+    got = lines.discoveries(df, 0.01).collect()
+    exact = {i: math.erfc(math.sqrt(x / 2)) for i, x in enumerate(llr)}
+    assert all(exact[r["i"]] <= r["p"] * 1.0001 <= 1.3 * exact[r["i"]] + 1e-4 for r in got)
+    order = sorted(r["p"] for r in got)
+    cut = max((p for n, p in enumerate(order, 1) if p <= 0.01 * n / len(order)), default=0)
+    own = {r["i"] for r in got if r["significant"]}
+    assert {r["i"] for r in got if r["p"] <= cut * 10**-0.05} <= own <= {r["i"] for r in got if r["p"] <= cut}
+    assert lines.discoveries(df.limit(0)).count() == 0
+
+
 # 7
 
 
@@ -295,9 +317,9 @@ def test_packing_holds_every_token(spark):
             total[r["key"]] += r["tokens"]
             parts[r["key"]] += 1
             load[r["group"], r["bin"]] += r["tokens"]
-        assert total == {k: t for k, t in items if k is not None and t}
+        assert dict(total) == {k: t or 0 for k, t in items if k is not None}  # items without size lie somewhere, too
         assert max(load.values()) <= cap
-        assert all(parts[k] == -(-t // cap) for k, t in items if k is not None and t)
+        assert all(parts[k] == max(1, -(-(t or 0) // cap)) for k, t in items if k is not None)
     assert packing.fills(out).filter("fill > 1").count() == 0 and packing.pack(df.limit(0), w).count() == 0
     assert out.filter("window_id = 3").count() == 0
 
@@ -308,6 +330,15 @@ def test_token_counts(spark):
     assert got[1] == got[2] == 0 and got[3] == len(packing._encoding(packing.TOKENIZER).encode_ordinary("hello world")) and got[4] > 10_000
 
 
+def test_pieces_have_the_tokens_of_the_whole():
+    rnd = random.Random(18)
+    enc = packing._encoding(packing.TOKENIZER)
+    for _ in range(300):
+        s = "".join(rnd.choice("ab 'sl1,.中文\n  ’é2t") for _ in range(rnd.randint(0, 200)))
+        assert "".join(packing.pieces(s, 7)) == s
+        assert sum(len(enc.encode_ordinary(x)) for x in packing.pieces(s, 7)) == len(enc.encode_ordinary(s)), s
+
+
 # 2 and 5
 
 
