@@ -16,7 +16,7 @@ _c = lambda x: F.col(x) if isinstance(x, str) else x
 def strip(x: Col, more: str = "") -> Column:
     """White space (and the characters ``more``) removed at both ends."""
     cls = R.WS[:-1] + more + "]"
-    return F.regexp_replace(_c(x), f"^{cls}+|{cls}+$", "")
+    return F.regexp_replace(_c(x), f"(?!{R.HAN})(?:^{cls}+|{cls}+$)", "")
 
 
 def _blanks(x: Column) -> Column:
@@ -24,7 +24,13 @@ def _blanks(x: Column) -> Column:
 
 
 def _between_han(x: Column) -> Column:
-    return F.regexp_replace(x, f"(?<={R.HAN}){R.WS}+(?={R.HAN})", "")
+    """No space between ideographs; the first test, of one range, ends the search at most places."""
+    return F.regexp_replace(x, f"(?!{R.HAN})(?<={R.HAN}){R.WS}+(?={R.HAN})", "")
+
+
+def _joined(x: Column) -> Column:
+    """Line breaks vanish with the space around them; texts of one line aren't searched."""
+    return F.when(x.contains("\n"), F.regexp_replace(x, f"(?!{R.HAN}){R.WS}*\n{R.WS}*", "")).otherwise(x)
 
 
 def clean_page_text(x: Col) -> Column:
@@ -42,8 +48,7 @@ def page_status(x: Col, least: int = 40) -> Column:
 
 def report_text(x: Col) -> Column:
     """One line of report text: line breaks vanish with the space around them."""
-    t = _blanks(F.regexp_replace(_c(x), "\u3000", " "))
-    return strip(_between_han(F.regexp_replace(t, f"{R.WS}*\n{R.WS}*", "")))
+    return strip(_between_han(_joined(_blanks(F.translate(_c(x), "\u3000", " ")))))
 
 
 def compact(x: Col) -> Column:
@@ -51,7 +56,7 @@ def compact(x: Col) -> Column:
     t = F.regexp_replace(F.regexp_replace(_c(x), R.BOARD_NOTE, ""), R.PAGE_MARK, "")
     for line in R.DROPPED_LINES:
         t = F.regexp_replace(t, "(?md)" + line, "")
-    t = _between_han(F.regexp_replace(_blanks(t), f"{R.WS}*\n{R.WS}*", ""))
+    t = _between_han(_joined(_blanks(t)))
     return F.regexp_replace(t, "^[ \n\t；;]+|[ \n\t；;]+$", "")
 
 

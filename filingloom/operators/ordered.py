@@ -9,9 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def same_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """``a`` joined with ``b`` on ``keys``, where null equals null; the keys of ``a`` are kept."""
+def same_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner", merge: bool = False) -> DataFrame:
+    """``a`` joined with ``b`` on ``keys``, where null equals null; the keys of ``a`` are kept.
+
+    ``merge`` keeps both sides in all partitions, where Spark might send a small ``a`` to the few partitions of ``b``.
+    """
     other = b.withColumnsRenamed({k: f"__{k}" for k in keys})
+    other = other.hint("merge") if merge else other
     on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
     return a.join(other, on, how).drop(*[f"__{k}" for k in keys])
 

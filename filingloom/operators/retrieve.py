@@ -25,7 +25,7 @@ def report_chunks(pages: DataFrame, size: int = 750, overlap: int = 100, least:
     p = pages.filter(F.col("document_type") == document_type).select(*report, "document_id", F.col("page_number").alias("page"), T.report_text("text").alias("t")).dropDuplicates(["document_id", "page"]).filter("t != ''")
     p = materialize(p.withColumn("n", F.length("t")), "report-pages")
     at = running_sum(p.drop("t"), report, F.floor(F.col("page") / 1000), ["page", "document_id"], F.col("n") + 1, "start", "total").select("document_id", "page", "start", "total")
-    at = same_keys(p, at, ["document_id", "page"])
+    at = same_keys(p, at, ["document_id", "page"], merge=True)
     end = F.col("total") - 1
     at = at.withColumn("t", F.when(F.col("start") + F.col("n") == end, F.col("t")).otherwise(F.concat("t", F.lit("\n"))))
     last = F.greatest(F.lit(0), F.ceil((end - size) / step))  # no window begins once one has reached the end
@@ -42,7 +42,7 @@ def report_chunks(pages: DataFrame, size: int = 750, overlap: int = 100, least:
     )
     g = materialize(g.filter(F.length("text") >= least), "windows")
     no = running_sum(g.select(*report, "w"), report, F.floor(F.col("w") / 10_000), ["w"], F.lit(1), "before")
-    return same_keys(g, no, [*report, "w"]).select(*report, (F.col("before") + 1).cast("int").alias("chunk_no"), "page_start", "page_end", "text")
+    return same_keys(g, no, [*report, "w"], merge=True).select(*report, (F.col("before") + 1).cast("int").alias("chunk_no"), "page_start", "page_end", "text")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, partition: list[str], k: int = 10, k1: float = 1.5, b: float = 0.75, lead: int = 3) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -25,6 +26,9 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
+    small = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    if spark.conf.get(small, "1MB") in ("1MB", "1048576b"):  # unset: stages that cost much CPU a byte should keep all cores busy
+        spark.conf.set(small, "64KB")
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="filingloom-")) / "filingloom_pkg.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
@@ -63,8 +67,10 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
             jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
-        except Exception:  # the JVM may be gone before us
-            pass
+        except Exception:  # the JVM may be gone before us; a folder of this machine can be removed without it
+            local = path.removeprefix("file://").removeprefix("file:")
+            if local.startswith("/"):
+                shutil.rmtree(local, ignore_errors=True)
 
     atexit.register(remove)
 
