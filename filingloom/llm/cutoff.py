@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, widen
 from .canon import canon_texts
-from .codes import gram_hashes, mix
 
 #: Longest ending, in characters, whose continuations are counted; weight of the shorter ending in the estimate of a longer one.
 DEPTH, WEIGHT = 10, 10.0
@@ -73,6 +72,13 @@ def _numbers(form: str) -> str:
     return re.sub(r"\d[\d,.]*", "0", form)
 
 
+def _longer(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The hash of an ending with one character more behind it: two odd multipliers and a shift that brings high bits down."""
+    with np.errstate(over="ignore"):
+        h = (h + c + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(29))
+
+
 def _bits(only: np.ndarray) -> np.ndarray:
     """Which low bits occur among the hashes: most lookups end here."""
     out = np.zeros(1 << 22, bool)
@@ -98,9 +104,10 @@ def _counted(texts: list[str], is_gold: list[bool], only: np.ndarray | None, bit
     final |= stop
     if only is not None and bits is None:
         bits = _bits(only)
+    wide = chars.astype(np.uint64)
     h = np.zeros(len(chars) + 1, np.uint64)
     for k in range(1, DEPTH + 1):
-        h = mix(h[: len(chars) - k + 1] ^ chars[k - 1 :].astype(np.uint64))  # by start, one character more each time
+        h = _longer(h[: len(chars) - k + 1], wide[k - 1 :])  # by start, one character more each time
         at = np.arange(k, len(chars))
         hk = h[at - k].view(np.int64) ^ np.int64(k)
         ok = usable[at] & (place[at] >= k)
@@ -131,7 +138,7 @@ def ending_hashes(bares: list[str]) -> list[np.ndarray]:
     for k in range(1, DEPTH + 1):
         h = np.zeros(len(tails), np.uint64)
         for j in range(DEPTH - k, DEPTH):
-            h = mix(h ^ table[:, j])
+            h = _longer(h, table[:, j])
         out[:, k - 1] = h.view(np.int64) ^ np.int64(k)
     return [out[i, :n] for i, n in enumerate(size.tolist())]
 
@@ -256,6 +263,42 @@ def limits(lengths: DataFrame) -> DataFrame:
     return hist.groupBy("s", "unit").applyInPandas(run, "s string, unit string, len int, p double")
 
 
+def final_chances(live: DataFrame, counts: DataFrame) -> DataFrame:
+    """(source, key, rate, p_final) of ``live`` (source, key, endings): the share of sentence ends among all places, and behind the record's own endings.
+
+    Each ending's estimate leans on that of the shorter one with WEIGHT. Up to MAX_SENT_ENDINGS counts are sent to the executors; more are joined.
+    """
+    base = counts.filter("ending = 0").select(F.col("n").alias("n0"), F.col("final").alias("f0"))
+    if counts.count() > MAX_SENT_ENDINGS:
+        step = lambda p, x: (x["final"] + WEIGHT * p) / (x["n"] + WEIGHT)
+        ends = live.select("source", "key", F.posexplode("endings").alias("i", "ending"))
+        per = ends.join(counts, "ending", "left").groupBy("source", "key").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("final", F.lit(0)).alias("final")))).alias("c"))  # at most DEPTH a record
+        per = per.crossJoin(F.broadcast(base)).withColumn("rate", (F.col("f0") + 0.5) / (F.col("n0") + 1))  # base: one row
+        return per.withColumn("p_final", F.aggregate("c", F.col("rate"), step)).select("source", "key", "rate", "p_final")
+    sent = counts.orderBy("ending").toArrow()
+    keys, n, final = (sent[c].to_numpy().copy() for c in ("ending", "n", "final"))
+    zero = np.searchsorted(keys, 0)
+    rate = float((final[zero] + 0.5) / (n[zero] + 1)) if zero < len(keys) and keys[zero] == 0 else 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            size = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            i = np.minimum(np.searchsorted(keys, flat), max(len(keys) - 1, 0))
+            hit = keys[i] == flat
+            seen, ended = np.where(hit, n[i], 0), np.where(hit, final[i], 0)
+            first = np.cumsum(size) - size
+            p = np.full(len(size), rate)
+            for k in range(DEPTH):
+                rows = np.flatnonzero(size > k)
+                at = first[rows] + k
+                p[rows] = (ended[at] + WEIGHT * p[rows]) / (seen[at] + WEIGHT)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(len(size), rate)), pa.array(p)], names=["source", "key", "rate", "p_final"])
+
+    return live.select("source", "key", "endings").filter("size(endings) > 0").mapInArrow(run, "source string, key string, rate double, p_final double")
+
+
 def cut_scores(df: DataFrame, source: str, key: str, text: str, gold: str | None = None, share: float = 0.05, marked: float = 0.02) -> DataFrame:
     """(source, key, cut, p_cut, p_limit, p_final, chars) for each record once: ``answer_scores`` of the records' answers.
 
@@ -282,13 +325,8 @@ def answer_scores(a: DataFrame, gold: DataFrame | None = None, share: float = 0.
     if gold is not None:
         texts = texts.union(gold.select("form", F.lit(True)))
     live = a.filter("sign = 0")
-    ends = live.select("source", "key", F.posexplode("endings").alias("i", "ending"))
-    counts = materialize(ending_counts(texts, ends.select("ending")), "endings")
-    base = counts.filter("ending = 0").select(F.col("n").alias("n0"), F.col("final").alias("f0"))
-    step = lambda p, x: (x["final"] + WEIGHT * p) / (x["n"] + WEIGHT)
-    per = ends.join(counts, "ending", "left").groupBy("source", "key").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("final", F.lit(0)).alias("final")))).alias("c"))  # at most DEPTH a record
-    per = per.crossJoin(F.broadcast(base)).withColumn("rate", (F.col("f0") + 0.5) / (F.col("n0") + 1)).withColumn("p_final", F.aggregate("c", F.col("rate"), step))  # base: one row
-
+    counts = materialize(ending_counts(texts, live.select(F.explode("endings").alias("ending"))), "endings")
+    per = final_chances(live, counts)
     unit = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("len")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("len"))))
     lens = a.select("source", "key", F.coalesce("source", F.lit("")).alias("s"), unit.alias("u")).select("source", "key", "s", "u.unit", "u.len")
     at = lens.join(limits(lens), ["s", "unit", "len"]).groupBy("source", "key").agg(F.max("p").alias("p_limit"))

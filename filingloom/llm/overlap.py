@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -32,9 +33,25 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def agreement(a: str, b: str) -> float:
-    """Twice the characters that agree in order over both lengths; 0 if either text is empty."""
-    return 2 * lcs_length(a, b) / (len(a) + len(b)) if a and b else 0.0
+def agreement(a: str, b: str, least: float = 0.0) -> float:
+    """Twice the characters that agree in order over both lengths; 0 if either text is empty, or if that is below ``least``.
+
+    Rows end as soon as what is left of ``b`` can't bring the common characters to the number that ``least`` asks for.
+    """
+    if not a or not b:
+        return 0.0
+    need = math.ceil(least * (len(a) + len(b)) / 2 - 1e-9)
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | (1 << i)
+    row = full = (1 << len(a)) - 1
+    for start in range(0, len(b), 32):
+        for c in b[start : start + 32]:
+            hit = row & where.get(c, 0)
+            row = ((row + hit) | (row - hit)) & full
+        if len(a) - row.bit_count() + max(0, len(b) - start - 32) < need:
+            return 0.0
+    return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
 #: Buckets of the character counts that bound the agreement of two texts; texts longer than this many characters are not pre-filtered.
@@ -195,7 +212,7 @@ def split_overlaps(records: DataFrame, key: str, split: str, texts: list[str], t
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b.assign(similarity=[1.0 if x == y else agreement(x, y) for x, y in zip(b["fe"], b["ft"], strict=True)])
+            b = b.assign(similarity=[1.0 if x == y else agreement(x, y, least) for x, y in zip(b["fe"], b["ft"], strict=True)])
             b = b[b["similarity"] >= least - 1e-12]
             grams = [(word_grams(x), word_grams(y)) for x, y in zip(b["fe"], b["ft"], strict=True)]
             b = b.assign(containment=[len(np.intersect1d(x, y)) / max(1, len(x)) for x, y in grams])

@@ -252,6 +252,17 @@ def test_overlaps_with_scattered_edits(spark):
     assert {(r["key_train"], r["key_eval"]) for r in overlap.split_overlaps(df, "id", "split", ["q"]).collect()} == want
 
 
+def test_agreement_ends_early_only_below_the_least():
+    rnd = random.Random(28)
+    text = lambda n: "".join(rnd.choice("甲乙丙") for _ in range(n))
+    for _ in range(300):
+        a, b = text(rnd.randint(0, 150)), text(rnd.randint(0, 150))
+        whole = overlap.agreement(a, b)
+        assert whole == (2 * overlap.lcs_length(a, b) / (len(a) + len(b)) if a and b else 0)
+        for least in (0.5, 0.7, 0.8, 1.0):
+            assert overlap.agreement(a, b, least) == (whole if whole >= least else 0) or abs(whole - least) < 1e-9
+
+
 def test_candidates_leave_out_no_agreeing_pair():
     rnd = random.Random(27)
     text = lambda n: "".join(rnd.choice("甲乙丙丁") for _ in range(n))
