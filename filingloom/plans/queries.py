@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import cleaning, dataset, evaluate, quality, retrieve, segment
-from ..session import materialize, ship, table
+from ..session import keep_parallel, materialize, ship, table
 from ..sources import io
 from . import oracle as O
 
@@ -23,6 +23,7 @@ def query(sql: str | None = None):
     def add(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
+            keep_parallel(spark)
             return f(spark, sf_dir)
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__

@@ -26,9 +26,6 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
-    small = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
-    if spark.conf.get(small, "1MB") in ("1MB", "1048576b"):  # unset: stages that cost much CPU a byte should keep all cores busy
-        spark.conf.set(small, "64KB")
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="filingloom-")) / "filingloom_pkg.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
@@ -38,6 +35,13 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def keep_parallel(spark: SparkSession) -> None:
+    """Small stages keep all cores busy: where the least size of a partition is unset, it becomes 64 KB. For queries that cost much CPU a byte in few stages."""
+    small = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    if spark.conf.get(small, "1MB") in ("1MB", "1048576b"):
+        spark.conf.set(small, "64KB")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. In local mode, where that is unset, a folder of this machine; elsewhere that raises."""
     where = spark.conf.get("spark.checkpoint.dir", "") or ""

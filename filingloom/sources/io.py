@@ -91,3 +91,12 @@ def score_batches(df: DataFrame, scorer: Callable[[list[str]], list], text: str,
         return pd.Series(scorer(list(s)))
 
     return df.withColumn(name, F.pandas_udf(run, kind)(F.col(text)))
+
+
+def score_pairs(df: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], left: str, right: str, name: str = "score") -> DataFrame:
+    """Adds what an injected model of text pairs (prediction, reference) gives, a batch at a time; null texts are empty."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(scorer([x or "" for x in a], [x or "" for x in b]), dtype=float)
+
+    return df.withColumn(name, F.pandas_udf(run, "double")(F.col(left), F.col(right)))

@@ -152,3 +152,27 @@ def test_short_gold_texts_are_compared_whole(spark):
 def test_templates(spark):
     df = spark.createDataFrame([("甲", None)], "a string, b int")
     assert df.select(T.fill("{a}-{b}-{a}", a=F.col("a"), b=F.col("b"))).first()[0] == "甲--甲"
+
+
+def test_pairs_are_scored_by_an_injected_model(spark):
+    df = spark.createDataFrame([("甲乙", "甲"), (None, "甲")], "p string, r string")
+    got = io.score_pairs(df, lambda a, b: [float(len(x) - len(y)) for x, y in zip(a, b, strict=True)], "p", "r").collect()
+    assert sorted(r["score"] for r in got) == [-1.0, 1.0]
+
+
+def test_rules_on_literal_cases():
+    import re
+
+    hit = lambda rule, text: [m[0] for m in re.finditer("(?m)" + rule, text)]
+    assert hit(R.REQUEST_TRIGGER, "请公司说明。请你公司：列示。请年审会计师核查。请结合") == ["请公司", "请你公司", "请结合"]
+    assert hit(R.STAGE_ONE_TRIGGER, "请年审会计师核查。请独立董事") == ["请年审会计师", "请独立董事"]
+    assert hit(R.CHILD_MARKER, "（1）甲(二)乙（ 10 ）丙（甲）") == ["（1）", "(二)", "（ 10 ）"]
+    assert hit(R.REFERENCE_MARKER, "对问题（1）（2）发表") == ["问题（1）（2）"]
+    assert all(hit(R.OMISSION, x) for x in ("说明……", "略。", "（略）", "待补充", "a...", "____", "内容缺失")) and not hit(R.OMISSION, "战略合作、简略说明，攻略")
+    assert hit(R.PARENT_START, "问题1.关于经营业绩。年报\n二、关于存货的问题\n3.年报披露，收入\n4.其他") == ["问题1.关于经营业绩。", "二、关于存货的问题", "3.年报披露，收入"]
+    assert [bool(hit(R.ANSWER_LINE, x)) for x in ("回复：", "【公司回复】", "一、公司说明", "（一）公司回复", "会计师回复:", "公司的回复是")] == [True] * 5 + [False]
+    assert hit(R.PROFESSIONAL[0], "请年审会计师就上述问题进行核查并发表明确意见。然后") == ["请年审会计师就上述问题进行核查并发表明确意见。"]
+    assert hit(R.PROFESSIONAL[3], "原因（问询函第一条）") == ["（问询函第一条）"]
+    assert hit(R.AMOUNT, "收入1,234.5万元，增长12%，减少3个百分点") == ["1,234.5万元", "12%", "3个百分点"]
+    assert hit(R.WHETHER, "说明是否存在减值迹象，是否a") == ["是否存在减值迹象"]
+    assert len(R.FULL_WIDTH) == len(R.HALF_WIDTH) == 28
