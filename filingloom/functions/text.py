@@ -120,7 +120,8 @@ def numeral(x: Col) -> Column:
 
 def question_number(text: Col, key: Col, fallback: Col) -> Column:
     """The number that the text starts with, else that after _q in the key, else ``fallback``."""
-    own = numeral(F.nullif(F.regexp_extract(compact(F.coalesce(_c(text), F.lit(""))), R.QUESTION_NUMBER, 1), F.lit("")))
+    found = F.nullif(F.regexp_extract(compact(F.coalesce(_c(text), F.lit(""))), R.QUESTION_NUMBER, 1), F.lit(""))
+    own = F.transform(F.array(found), numeral).getItem(0)  # the text is searched once, however often the number is looked at
     return F.coalesce(own, F.nullif(F.regexp_extract(F.coalesce(_c(key), F.lit("")), "_q(\\d+)", 1), F.lit("")).cast("int"), _c(fallback))
 
 

@@ -145,3 +145,32 @@ def matched(a: str, b: str) -> str:
     """How many of list ``a`` agree with one of list ``b``."""
     text = lambda v: f"substr({v}, instr({v}, ':') + 1)"
     return f"len(list_filter({a}, lambda u: len(list_filter({b}, lambda v: split_part(u, ':', 1) = split_part(v, ':', 1) AND (contains({text('u')}, {text('v')}) OR contains({text('v')}, {text('u')})))) > 0))"
+
+
+def without_professional(x: str) -> str:
+    """The text without requests to advisers, as operators.segment.without_professional; ``x`` is a compacted text."""
+    rest = x
+    for p in R.PROFESSIONAL:
+        rest = sub(rest, p)
+    rest = sub(sub(compact(rest), "[。；;]{2,}", "。"), "^[ ，,。；;]+|[ ，,。；;]+$")
+    any_ = " OR ".join(f"regexp_matches({x}, {lit(p)})" for p in R.PROFESSIONAL)
+    return f"CASE WHEN {any_} THEN {rest} ELSE {x} END"
+
+
+def strip_requester(x: str) -> str:
+    t = strip(f"regexp_replace({x}, {lit('^' + R.REQUESTER)}, '')")
+    t = strip(f"regexp_replace({t}, {lit('^请(' + '|'.join(R.LEADING_VERBS) + ')')}, '\\1')")
+    return sub(t, "^[ ，,。；;]+|[ ，,。；;]+$")
+
+
+#: ROUGE-L of every prediction by the rows of the dynamic program, one character of the gold text at a time.
+ROUGE = f"""
+RECURSIVE src AS (SELECT config, sample_id, {answer("coalesce(prediction, '')")} a, {answer("coalesce(reference, '')")} b FROM {PREDICTIONS}),
+  cells AS (SELECT config, sample_id, a, b, i.i::INT i, substr(a, i.i::INT, 1) c FROM src, unnest(range(1, length(a) + 1)) i(i) WHERE length(b) > 0),
+  dp AS (
+    SELECT config, sample_id, i, c, b, 0 j, 0 v FROM cells
+    UNION ALL
+    SELECT config, sample_id, i, c, b, j + 1, max(t) OVER (PARTITION BY config, sample_id ORDER BY i ROWS UNBOUNDED PRECEDING)
+    FROM (SELECT config, sample_id, i, c, b, j, greatest(v, coalesce(lag(v) OVER (PARTITION BY config, sample_id ORDER BY i), 0) + CASE WHEN c = substr(b, j + 1, 1) THEN 1 ELSE 0 END) t FROM dp WHERE j < length(b))),
+  lcs AS (SELECT config, sample_id, max(v) n FROM dp WHERE j = length(b) GROUP BY ALL),
+  rouge AS (SELECT s.config, s.sample_id, coalesce(2.0 * n / (length(a) + length(b)), 0)::DOUBLE rouge_l FROM src s LEFT JOIN lcs ON lcs.config IS NOT DISTINCT FROM s.config AND lcs.sample_id = s.sample_id)"""

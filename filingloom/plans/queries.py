@@ -445,27 +445,31 @@ def _gold(spark: SparkSession, sf: str) -> DataFrame:
     return q.select(F.col("question_id").alias("gold_id"), "company", T.question_number("question_text", "question_id", F.lit(0)).alias("question_number"), F.col("source_page_start").alias("gold_start"), F.col("source_page_end").alias("gold_end"))
 
 
-@query()
+_NUMBER = lambda text: f"coalesce({O.numeral('nullif(regexp_extract(' + O.compact(f'coalesce({text}, {O.lit(str())})') + ', ' + O.lit(R.QUESTION_NUMBER) + ', 1), ' + O.lit(str()) + ')')}, try_cast(nullif(regexp_extract(question_id, '_q(\\d+)', 1), '') AS INT), 0)"
+_GOLD = f", gold AS (SELECT question_id gold_id, company, {_NUMBER('question_text')} no, source_page_start g1, source_page_end g2 FROM {O.QUESTIONS} WHERE question_level = 'parent' AND source_page_start IS NOT NULL AND source_page_end IS NOT NULL AND company IS NOT NULL), sub AS (SELECT question_id query_id, company, {_NUMBER('coalesce(parent_question_text, question_text)')} no FROM {O.QUESTIONS} WHERE question_level = 'subquestion')"
+
+
+@query(_SCORED + _FOUND + _GOLD + ", m AS (SELECT gold_id, min(rank) best FROM gold JOIN sub USING (company, no) JOIN hits USING (query_id) JOIN place USING (doc_id) WHERE page_start <= g2 AND g1 <= page_end GROUP BY 1), g AS (SELECT gold_id, best FROM gold LEFT JOIN m USING (gold_id)) SELECT k, round(recall, 9) recall FROM (" + _AT + ")")
 def gold_recall(spark, sf):
     """Share of gold rows that a question of their company and number finds among its best k chunks."""
     hits, docs = _hits(spark, sf, 10)
     q = questions(spark, sf).filter("question_level = 'subquestion'").select(F.col("question_id").alias("query_id"), "company", T.question_number(F.coalesce("parent_question_text", "question_text"), "question_id", F.lit(0)).alias("question_number"))
-    return retrieve.recall_at(retrieve.gold_hits(_gold(spark, sf), q, hits, docs), _gold(spark, sf))
+    return retrieve.recall_at(retrieve.gold_hits(_gold(spark, sf), q, hits, docs), _gold(spark, sf)).withColumn("recall", F.round("recall", 9))
 
 
-@query()
+@query(_SCORED + _FOUND + _GOLD + ", lastg AS (SELECT company, no, max(gold_id) gold_id FROM gold GROUP BY ALL), lg AS (SELECT l.*, g1, g2 FROM lastg l JOIN gold g USING (company, no, gold_id)) SELECT query_id, company, no::INT question_number, rank, doc_id, pages, score, text, gold_id, CASE WHEN gold_id IS NOT NULL THEN coalesce(page_start <= g2 AND g1 <= page_end, false) END hit FROM sub JOIN hits USING (query_id) JOIN place USING (doc_id) LEFT JOIN lg USING (company, no) WHERE rank <= 5")
 def evidence_review(spark, sf):
     """The five best candidates of every question with their pages, and whether they meet the gold pages of its company and number."""
     c = _candidates(spark, sf).withColumn("question_number", T.question_number(F.coalesce("parent_question_text", "question_text"), "query_id", F.lit(0)))
     return retrieve.review_rows(c, _gold(spark, sf), ["company", "question_number"])
 
 
-@query()
+@query(f"WITH {O.ROUGE} SELECT config, sample_id, round(rouge_l, 9) rouge_l FROM rouge")
 def rouge_l(spark, sf):
     return predictions(spark, sf).select("config", "sample_id", F.round(evaluate.rouge_l(F.col("prediction"), F.col("reference")), 9).alias("rouge_l"))
 
 
-@query()
+@query(f"WITH {O.ROUGE}, best AS (SELECT config, reference, max(rouge_l) s FROM rouge JOIN {O.PREDICTIONS} USING (config, sample_id) GROUP BY config, sha256(coalesce(reference, '')), reference) SELECT config, count(*) AS \"groups\", round(avg(s), 9) rouge_l FROM (SELECT config, sha256(coalesce(reference, '')) h, max(s) s FROM best GROUP BY ALL) GROUP BY 1")
 def rouge_l_groups(spark, sf):
     """Best score per configuration and gold text, then the mean."""
     r = predictions(spark, sf).select("config", F.sha2(F.coalesce("reference", F.lit("")), 256).alias("prompt"), evaluate.rouge_l(F.col("prediction"), F.col("reference")).alias("s"))
@@ -556,6 +560,20 @@ def _cleaned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
 _CLEANED = ("question_id", "question_level", "stock_code", "report_year", "topic_title", "source_file", "source_page_start", "source_page_end", "raw_question_text", "cleaned_question_text", "professional_opinion_request", "is_complete", "exclude_from_training", "is_training_target", "original_question_number", "subquestion_number", "extraction_method")
 
 
+_BARE = f"(SELECT question_id, question_level, source_document_type, raw, {O.without_professional('raw')} c FROM (SELECT *, {O.compact(chr(99) + 'oalesce(question_text, ' + O.lit(str()) + ')')} raw FROM {O.QUESTIONS}))"
+
+
+@query(f"""
+WITH c AS (SELECT question_id, question_level, source_document_type, CASE WHEN question_level = 'subquestion' THEN {O.strip_requester('c')} ELSE c END cleaned FROM {_BARE}),
+  f AS (SELECT *, cleaned <> '' AND NOT regexp_matches(cleaned, {O.lit(R.OMISSION)}) is_complete FROM c)
+SELECT question_id, cleaned AS cleaned_question_text, is_complete, question_level <> 'subquestion' OR source_document_type = 'supporting' OR NOT is_complete AS exclude_from_training,
+  question_level = 'subquestion' AND NOT (source_document_type = 'supporting' OR NOT is_complete) AS is_training_target FROM f""")
+def question_flags(spark, sf):
+    """Raw questions, cleaned as they are, with their training flags."""
+    q = questions(spark, sf).withColumn("raw", F.col("question_text")).withColumn("forced", F.coalesce(F.col("source_document_type") == "supporting", F.lit(False)))
+    return cleaning.clean_fields(q).select("question_id", "cleaned_question_text", "is_complete", "exclude_from_training", "is_training_target")
+
+
 @query()
 def formal_questions(spark, sf):
     return _cleaned(spark, sf)[0].select(*_CLEANED)
