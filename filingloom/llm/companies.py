@@ -109,16 +109,32 @@ def components(edges: DataFrame, local_links: int = 500_000, fan_in: int = 8) ->
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+#: A node of more links than this is joined by salted parts in ``_stars``.
+HUB = 100_000
+
+
+def _to_least(both: DataFrame, least: DataFrame) -> DataFrame:
+    """``both`` (a, b) joined with ``least`` (a, m, n), one row per node; links of a hub (n > HUB) are dealt into parts, each with its own copy of the hub's row."""
+    hubs = least.filter(F.col("n") > HUB)
+    if hubs.isEmpty():
+        return both.join(least, "a")
+    parts = 64
+    cold = both.join(hubs.select("a"), "a", "left_anti").join(least, "a")
+    salted = hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    hot = both.join(hubs.select("a"), "a", "left_semi").withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int")).join(salted, ["a", "part"]).drop("part")
+    return cold.unionByName(hot)
+
+
 def _stars(links: DataFrame) -> DataFrame:
     """Alternating large-star and small-star rounds until no link changes."""
     before = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = _to_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").filter("a != b").distinct()
+        low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _to_least(down, low).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").filter("a != b").distinct()
         links = materialize(small, "stars")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:

@@ -83,8 +83,9 @@ def brute_components(edges):
     return {frozenset(v) for v in groups.values() if len(v) > 1}
 
 
-@pytest.mark.parametrize("local", [500_000, 0])
-def test_components(spark, local):
+@pytest.mark.parametrize(("local", "hub"), [(500_000, 100_000), (0, 100_000), (0, 5)])
+def test_components(spark, monkeypatch, local, hub):
+    monkeypatch.setattr(companies, "HUB", hub)
     rnd = random.Random(3)
     edges = [(f"c:{rnd.randint(0, 60):03}", f"n:{rnd.randint(0, 60):03}") for _ in range(70)] + [("c:900", f"n:9{i:02}") for i in range(40)]
     got = defaultdict(set)
