@@ -174,3 +174,18 @@ RECURSIVE src AS (SELECT config, sample_id, {answer("coalesce(prediction, '')")}
     FROM (SELECT config, sample_id, i, c, b, j, greatest(v, coalesce(lag(v) OVER (PARTITION BY config, sample_id ORDER BY i), 0) + CASE WHEN c = substr(b, j + 1, 1) THEN 1 ELSE 0 END) t FROM dp WHERE j < length(b))),
   lcs AS (SELECT config, sample_id, max(v) n FROM dp WHERE j = length(b) GROUP BY ALL),
   rouge AS (SELECT s.config, s.sample_id, coalesce(2.0 * n / (length(a) + length(b)), 0)::DOUBLE rouge_l FROM src s LEFT JOIN lcs ON lcs.config IS NOT DISTINCT FROM s.config AND lcs.sample_id = s.sample_id)"""
+
+
+def professional(x: str) -> tuple[str, str]:
+    """(text without requests to advisers, these requests once each in order of place), of a raw text."""
+    rest = x
+    for p in R.PROFESSIONAL:
+        rest = sub(rest, p)
+    any_ = " OR ".join(f"regexp_matches({x}, {lit(p)})" for p in R.PROFESSIONAL)
+    cleaned = f"CASE WHEN {any_} THEN {sub(sub(compact(rest), '[。；;]{2,}', '。'), '^[ ，,。；;]+|[ ，,。；;]+$')} ELSE {compact(x)} END"
+    found = "[]::VARCHAR[]"
+    for p in R.PROFESSIONAL:
+        found = f"list_concat({found}, regexp_extract_all({x}, {lit(p)}))"
+    placed = f"list_sort(list_transform({found}, lambda m: {{'at': instr({x}, m), 'm': m}}))"
+    values = f"list_filter(list_transform({placed}, lambda s: {sub(compact('s.m'), '^[。；; ]+|[。；; ]+$')}), lambda v: v <> '')"
+    return cleaned, values

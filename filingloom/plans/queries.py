@@ -411,7 +411,18 @@ def _variants(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     }
 
 
-@query()
+_HEAD = "string_agg('【证据' || rank || '｜年报页 ' || coalesce(pages, '') || '｜chunk ' || doc_id || '】' || chr(10) || text, chr(10) ORDER BY rank) evidence, string_agg(doc_id, '|' ORDER BY rank) ids, array_to_string(list_sort(list_distinct(list(split_part(doc_id, '/', 1)))), '|') firms"
+_LEAD = "'公司：' || company || chr(10) || '证券代码：' || code || chr(10) || '报告年度：' || y || chr(10) || '风险主题：' || topic || chr(10)"
+
+
+@query("WITH " + O.CHUNKS + "," + O.CHUNK_PAGES + "," + _DOCS + "," + _TOPIC_QUERIES + f", gq AS (SELECT 'all' part, topic query_id, query text FROM (VALUES {_WORDS}) w(topic, query)), ad AS (SELECT 'all' part, doc_id, text FROM docs), h1 AS (WITH " + O.bm25("docs", "tq", "report", 3) + "), h2 AS (WITH " + O.bm25("ad", "gq", "part", 3) + ")" + _FOUND + f""",
+  sp AS (SELECT DISTINCT ON (sample_id) sample_id, split FROM split_samples),
+  base AS (SELECT sample_id, split, coalesce(company, '') company, coalesce(stock_code, '') code, coalesce(report_year, '') y, topic, {_REPORT_OF} || '/' || topic topic_id FROM (SELECT *, {_TOPIC_OF} topic FROM {O.QUESTIONS}) q JOIN sp ON sp.sample_id = q.question_id),
+  e1 AS (SELECT query_id, {_HEAD} FROM h1 JOIN place USING (doc_id) GROUP BY 1), e2 AS (SELECT query_id, {_HEAD} FROM h2 JOIN place USING (doc_id) GROUP BY 1),
+  v AS (SELECT b.*, 'constrained' variant, 'leakage_free_bm25_top3' source, evidence, ids, firms FROM base b LEFT JOIN e1 ON e1.query_id = topic_id
+    UNION ALL SELECT b.*, 'no_evidence', 'no_evidence', NULL, NULL, NULL FROM base b WHERE split = 'test'
+    UNION ALL SELECT b.*, 'global', 'leakage_free_bm25_top3_global', evidence, ids, firms FROM base b LEFT JOIN e2 ON e2.query_id = topic WHERE split = 'test')
+SELECT sample_id, variant, split, topic AS risk_topic, sha256({_LEAD} || CASE WHEN evidence IS NULL THEN '' ELSE '年度报告证据：' || chr(10) || evidence || chr(10) END || '请提出一个监管问询子问题。') AS prompt, coalesce(ids, '') AS evidence_ids, coalesce(firms, '') AS evidence_companies, source FROM v""")
 def leakage_free_samples(spark, sf):
     """Every variant's samples with the hash of their prompt, their evidence and where it comes from; constrained for all splits, the others for the test."""
     out = None
@@ -469,7 +480,10 @@ def rouge_l(spark, sf):
     return predictions(spark, sf).select("config", "sample_id", F.round(evaluate.rouge_l(F.col("prediction"), F.col("reference")), 9).alias("rouge_l"))
 
 
-@query(f"WITH {O.ROUGE}, best AS (SELECT config, reference, max(rouge_l) s FROM rouge JOIN {O.PREDICTIONS} USING (config, sample_id) GROUP BY config, sha256(coalesce(reference, '')), reference) SELECT config, count(*) AS \"groups\", round(avg(s), 9) rouge_l FROM (SELECT config, sha256(coalesce(reference, '')) h, max(s) s FROM best GROUP BY ALL) GROUP BY 1")
+_MEANS = f"WITH {O.ROUGE}, best AS (SELECT config, sha256(coalesce(reference, '')) h, max(rouge_l) s FROM rouge JOIN {O.PREDICTIONS} USING (config, sample_id) GROUP BY ALL), means AS (SELECT config, count(*) n, round(avg(s), 9) m FROM best GROUP BY 1)"
+
+
+@query(_MEANS + ' SELECT config, n AS "groups", m AS rouge_l FROM means')
 def rouge_l_groups(spark, sf):
     """Best score per configuration and gold text, then the mean."""
     r = predictions(spark, sf).select("config", F.sha2(F.coalesce("reference", F.lit("")), 256).alias("prompt"), evaluate.rouge_l(F.col("prediction"), F.col("reference")).alias("s"))
@@ -517,20 +531,37 @@ def _facts(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.fact_rows(x, text.withColumn("known", evaluate.lexicon(F.col("corpus"), F.lit(""))), ["stock_code"])
 
 
-@query()
+def _facts_sql() -> str:
+    """CTEs up to ``facts``: every prediction with its points, whether each is supported, and its unfounded items."""
+    lists = lambda ws: "[" + ", ".join(O.lit(w) for w in ws) + "]"
+    w = "substr(u, instr(u, ':') + 1)"
+    ok = f"CASE split_part(u, ':', 1) WHEN 'action' THEN NULL WHEN 'risk_or_disclosure' THEN len(list_filter({lists([*R.FINANCIAL_ITEMS, *R.RISK_STEMS])}, lambda a: contains({w}, a) AND contains(basis, a))) > 0 WHEN 'entity' THEN len(list_filter(known, lambda a: contains({w}, a) AND contains(basis, a))) > 0 ELSE contains(basis, {w}) END"
+    find = lambda p: f"list_distinct(regexp_extract_all(p, {O.lit(p)}))"
+    bad = f"""list_concat(list_concat(list_transform(list_filter({find(R.AMOUNT)}, lambda a: NOT contains(corpus, replace(a, '，', ','))), lambda a: 'amount:' || a),
+      list_transform(list_filter({find(R.YEAR)}, lambda a: NOT contains(corpus, a) AND coalesce(a::INT <> report_year, true)), lambda a: 'year:' || a)),
+      list_transform(list_filter({find(R.ENTITY)}, lambda a: NOT contains(corpus, a) AND NOT coalesce(contains(a, company), false) AND len(list_filter(known, lambda k: contains(a, k))) = 0), lambda a: 'entity:' || a))"""
+    return _SCORED + _FOUND + f""",
+  given AS (SELECT query_id sample_id, {O.answer("string_agg(text, '' ORDER BY rank)")} evidence FROM hits JOIN place USING (doc_id) JOIN {O.QUESTIONS} q ON q.question_id = query_id WHERE rank <= 3 AND {O.strip('question_text')} <> '' GROUP BY 1),
+  whole AS (SELECT split_part(report, '/', 1) stock_code, {O.answer("string_agg(text, '' ORDER BY doc_id)")} corpus FROM docs GROUP BY 1),
+  pr AS (SELECT config, sample_id, company, report_year, {O.answer("coalesce(prediction, '')")} p, evidence, coalesce(corpus, '') corpus FROM {O.PREDICTIONS} LEFT JOIN given USING (sample_id) LEFT JOIN whole USING (stock_code)),
+  kn AS (SELECT *, coalesce(evidence, corpus) basis, list_distinct(list_concat(regexp_extract_all(corpus, {O.lit(R.ENTITY)}), CASE WHEN coalesce(company, '') <> '' THEN [company] ELSE [] END)) known, {O.points('p', 'company')} pts FROM pr),
+  facts AS (SELECT config, sample_id, len(list_filter(pts, lambda u: coalesce({ok}, false))) supported, len(list_filter(pts, lambda u: coalesce(NOT ({ok}), false))) unsupported, list_sort({bad}) unfounded FROM kn)"""
+
+
+@query(_facts_sql() + " SELECT config, count(*) samples, sum(supported + unsupported)::BIGINT points, sum(supported)::BIGINT supported, round(avg(CASE WHEN len(unfounded) > 0 THEN 1 ELSE 0 END), 9) hallucination_rate, round(sum(supported) / nullif(sum(supported + unsupported), 0), 9) support_rate FROM facts GROUP BY 1")
 def evidence_support(spark, sf):
     """Supported points over points, and predictions with unfounded items, of every configuration."""
     r = evaluate.fact_rates(_facts(spark, sf))
     return r.withColumns({c: F.round(c, 9) for c in ("support_rate", "hallucination_rate")})
 
 
-@query()
+@query(_facts_sql() + " SELECT config, sample_id, array_to_string(unfounded, '|') items FROM facts WHERE len(unfounded) > 0")
 def unfounded_facts(spark, sf):
     """Predictions with amounts, years or firms that their company's reports don't hold."""
     return _facts(spark, sf).filter("size(unfounded) > 0").select("config", "sample_id", F.array_join("unfounded", "|").alias("items"))
 
 
-@query()
+@query(_MEANS + f" SELECT row_number() OVER (ORDER BY config)::INT AS place, config AS label, printf('%.4f', m) AS rouge_l, {O.lit(R.PENDING)} AS bertscore_f1 FROM means")
 def result_table(spark, sf):
     """The mean best ROUGE-L of every configuration as a table of figures with four places; what is not measured here is to come."""
     m = rouge_l_groups(spark, sf)
@@ -701,7 +732,10 @@ def question_blocks(spark, sf):
     return segment.question_blocks(questions(spark, sf).filter("question_level = 'parent'"), ["question_id"], "question_text")
 
 
-@query()
+_PLAIN, _ASKS = O.professional("question_text")
+
+
+@query(f"SELECT question_id, 1 AS ord, cleaned, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), '；') AS request FROM (SELECT question_id, {_PLAIN} cleaned, {_ASKS} v FROM {O.QUESTIONS} WHERE question_text IS NOT NULL)")
 def professional_requests(spark, sf):
     return segment.professional_requests(questions(spark, sf), ["question_id"], "question_text")
 
