@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.evaluate import common_length as lcs_length
 from ..session import materialize, widen
 from .canon import canon_texts
 from .codes import gram_hashes
@@ -20,19 +21,6 @@ from .codes import gram_hashes
 WORD = re.compile(r"[A-Za-zÀ-ɏ]+|\d[\d,.]*\d%?|\d%?|[^\W_]")
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by one big-integer row per character of ``b`` (bit-parallel)."""
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & where.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
 def agreement(a: str, b: str, least: float = 0.0) -> float:
     """Twice the characters that agree in order over both lengths; 0 if either text is empty, or if that is below ``least``.
 
