@@ -139,7 +139,7 @@ def _strings(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[str]:
     return [line[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
 
 
-def links(counts: DataFrame, ratio: float = 0.25, least: int = 5, words: int = 12) -> DataFrame:
+def links(counts: DataFrame, ratio: float = 0.35, least: int = 4, words: int = 10) -> DataFrame:
     """(key, meant, rare, freq, support): readings that are rare beside a frequent one which differs by plausible glyph edits, before vectors judge them.
 
     Glyphs, key (l, c, r) packed, meant the other glyph: either the whole triple is frequent (``least``) with the other glyph, or both its
