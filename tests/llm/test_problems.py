@@ -253,6 +253,20 @@ def test_overlaps_with_scattered_edits(spark):
     assert {(r["key_train"], r["key_eval"]) for r in overlap.split_overlaps(df, "id", "split", ["q"]).collect()} == want
 
 
+def test_blocks_are_not_copied_for_each_pair_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "BLOCK", 1000)
+    rnd = random.Random(37)
+    base = ["".join(chr(0x4E00 + rnd.randint(0, 20_000)) for _ in range(200)) for _ in range(240)]
+    rows = [(f"t{i}", "train", t) for i, t in enumerate(base)] + [(f"e{i}", "test", t[:90] + "改" * (i % 60) + t[90 + i % 60 :]) for i, t in enumerate(base[:120])]
+    df = spark.createDataFrame(rows, "id string, split string, q string")
+    written = lambda: {s.stageId(): s.shuffleWriteBytes() for s in (x.apply(i) for x in [spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)] for i in range(x.size()))}
+    before = written()
+    got = {(r["key_train"], r["key_eval"]) for r in overlap.split_overlaps(df, "id", "split", ["q"]).collect()}
+    assert got == {(f"t{i}", f"e{i}") for i in range(120) if overlap.agreement(base[i], rows[240 + i][2]) >= 0.8} and 70 < len(got) < 120
+    new = sum(n for k, n in written().items() if k not in before)
+    assert new < 8 * sum(len(r[2].encode()) for r in rows)
+
+
 def test_agreement_ends_early_only_below_the_least():
     rnd = random.Random(28)
     text = lambda n: "".join(rnd.choice("甲乙丙") for _ in range(n))
