@@ -486,6 +486,25 @@ def test_a_bucket_that_does_not_shrink_is_compared_in_blocks(spark):
     assert {tuple(sorted(r)) for r in pairs.near_leads(df, 5).collect()} == {(i, 40 + i) for i in range(6)}
 
 
+def test_links_between_blocks_are_not_left_out(spark):
+    order = list(range(60))
+    random.Random(38).shuffle(order)
+    chains = [list(range(c * 10_000 + 10 * k, c * 10_000 + 10 * k + 30)) for c in (1, 2) for k in range(30)]  # neighbours have a similarity of 0.5, others less
+    df = spark.createDataFrame([(1, order[i], s) for i, s in enumerate(chains)], "band bigint, lead_id bigint, lead array<bigint>")
+    links = {tuple(sorted(r)) for r in pairs.near_leads(df, 7).collect()}
+    assert brute_components(links) == {frozenset(order[:30]), frozenset(order[30:])}
+
+
+def test_similar_leads_that_share_no_band_are_one_cluster(spark):
+    sets, pair = lead_sets(60)
+    df = spark.createDataFrame([(i, s.tolist(), [i]) for i, s in enumerate(sets)], "lead_id bigint, lead array<bigint>, bands array<bigint>")
+    for most in (pairs.BUCKET, 7):
+        got = defaultdict(set)
+        for r in pairs.lead_clusters(df, most).collect():
+            got[r["cluster"]].add(r["lead_id"])
+        assert {frozenset(v) for v in got.values() if len(v) > 1} == brute_components(pair)
+
+
 def test_refusals_with_a_slot_recur(spark):
     slots = ["本年第三季度", "试运行阶段", "二零年度", "报告期末"]
     rows = [("m", k, g, p) for k, g, p in answers()] + [("m", f"r{i}", f"结合存货情况说明跌价{i}", f"未检索到{x}年报证据资料库内没有相应内容") for i, x in enumerate(slots)]  # no word of DECLINES
