@@ -21,7 +21,7 @@ def shuffled(spark):
     return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
 
 
-@pytest.mark.parametrize("name", ["candidate_counts", "evidence_text", "evidence_support", "page_range_hits", "gold_recall", "recall_at_k"])
+@pytest.mark.parametrize("name", ["candidate_counts", "evidence_text", "evidence_support", "page_range_hits", "gold_recall", "recall_at_k", "unfounded_facts"])
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_shuffles_follow_the_input(spark, name):
     before = shuffled(spark)
